@@ -1,27 +1,43 @@
-"""Token ids through the tokenizers library, unit by unit.
+"""Token ids through the tokenizers library, piece by piece.
 
-A text is cut where the tokenizer cuts in any case, each different unit is
-encoded once by the library, and its ids are kept in a table of bounded size.
+A text is cut where the tokenizer's own split pattern cuts, each different piece
+is merged once by the library's model, and its ids are kept in a table of bounded
+size. The cut here is written for characters below U+0250 less a few; a text with
+any other character goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-CACHE = 300_000  # units in each of two generations
+CACHE = 300_000  # pieces in each of two generations
 BLOCK = 512
-LONG = 256  # characters of a unit that is not kept in the table
-# White space on which the library and Python differ, or that may merge with a blank: such texts go to the library whole.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_SPLIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_BIG = sys.byteorder == "big"
+LONG = 256  # characters of a piece that is not kept in the table
 
+# Characters that Python's classes and the library's tell apart, or that normalisation may change.
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]")
+# Fixed: the split patterns of the two kinds of vocabulary.
+_WITH_BLANKS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_NO_BLANKS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
-# Letters that Python and the library may put into lower case differently, or that normalisation may compose.
-_CASED = re.compile("[^\x00-\u012f\u0131-\u024f]")
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next from U+0100 on."""
+    out, spare = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(spare)
+            spare += 1
+    return out
 
 
 class Recent:
@@ -58,9 +74,9 @@ class Recent:
 class Encoder:
     """Ids of texts as bytes, little-endian unsigned 32-bit integers.
 
-    ``blanks`` tells whether the vocabulary encodes white space (byte-level, a
-    unit being a word with the one blank before it) or drops it. The strings of
-    special tokens are ordinary text.
+    ``blanks`` tells whether the vocabulary encodes white space (a piece being a
+    word with the one blank before it) or drops it and puts letters into lower
+    case. The strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, blanks: bool) -> None:
@@ -69,34 +85,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.blanks = blanks
-        # a mark that is one id on its own: units are sent as one text with it between them
-        self.between, self.mark = "", -1
-        for c in ("\n",) if blanks else ("\u00ac", "\u00a4", "\u00a7", "~", "^"):
-            ids = self.tokenizer.encode(c, add_special_tokens=False).ids
-            if len(ids) == 1:
-                self.between, self.mark = c if blanks else f" {c} ", ids[0]
-                self.char = c
-                break
         self.known = Recent(CACHE)
 
-    def _library(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit, whose marked joint encoding is cut apart again where that is exact."""
-        out: list[bytes] = []
-        for lo in range(0, len(units), 256):
-            part = units[lo : lo + 256]
-            joint = self.between.join(part)
-            cuts = ()
-            if self.mark >= 0 and joint.count(self.char) == len(part) - 1:
-                ids = np.array(self.tokenizer.encode_batch_fast([joint], add_special_tokens=False)[0].ids, "<u4")
-                cuts = np.flatnonzero(ids == self.mark)
-            if len(part) > 1 and len(cuts) == len(part) - 1:
-                packed = ids.tobytes()
-                ends = [*(4 * cuts).tolist(), len(packed)]
-                out += [packed[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], ends)]
-            else:
-                out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        return out
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, by the library's model."""
+        merge, letters = self.model.tokenize, self.letters
+        out = [array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(letters))]) for p in pieces]
+        return [np.frombuffer(a, np.uint32).astype("<u4").tobytes() if _BIG else a.tobytes() for a in out]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
@@ -110,14 +111,11 @@ class Encoder:
         ends, whole = [], {}
         for i, t in enumerate(texts):
             if _ODD.search(t):
-                whole[i] = self._library([t])[0]
+                whole[i] = self._whole(t)
             else:
-                if self.blanks:
-                    units += _SPLIT.findall(t)
-                else:
-                    units += (t if _CASED.search(t) else t.lower()).split()
+                units += _WITH_BLANKS.findall(t) if self.blanks else _NO_BLANKS.findall(t.lower())
             ends.append(len(units))
-        ids = self.known.many(units, self._library)
+        ids = self.known.many(units, self._merged)
         return [whole[i] if i in whole else b"".join(ids[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
