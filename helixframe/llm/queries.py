@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import bpe, language, packing, pii, quality, secrets, tokenfile, toxicity
+from . import bpe, language, neardup, ngramjoin, packing, pii, quality, secrets, tokenfile, toxicity
 from .common import load
 
 
@@ -23,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), ids=False)
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(load(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(load(spark, sf_dir, "documents"))
 
@@ -33,6 +36,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(load(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(load(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -50,7 +57,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    own = (op1_secret_scan, op2_packing, op4_pii, op5_byte_bpe, op7_token_files, op8_toxicity, op9_quality, op10_language)
+    own = (op1_secret_scan, op2_packing, op3_embedding_neardup, op4_pii, op5_byte_bpe, op6_ngram_join, op7_token_files, op8_toxicity, op9_quality, op10_language)
     return {f.__name__: f for f in own}
 
 
