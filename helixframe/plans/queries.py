@@ -1,13 +1,37 @@
-"""Registered queries of the sequence operators, and their SQL."""
+"""Registered queries of the sequence operators, and their SQL.
+
+The driver's tables hold no nucleotides, so texts are mapped to them
+(:func:`~helixframe.functions.nucleotide.dna`); every query reads whole tables
+and whole texts.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import nucleotide as N
+from ..functions.params import Params
+from ..operators import align, graph, intervals, mapper, ordering, seeds
+from ..sources import readers, writers
+from ..streaming.drain import drain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+K, REPEAT = 14, 30
+
+
+def query(sql: str | None = None):
+    def keep(run):
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,3 +40,429 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def micros(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def days(c: str):
+    return F.unix_date(F.col(c).cast("date"))
+
+
+# SQL shared by the oracles
+
+_DNA = "upper(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'))"
+_SEEDS = f"""
+qs AS (SELECT item_id, {_DNA} AS s FROM benchmark),
+ds AS (SELECT doc_id, {_DNA} AS s FROM documents),
+rs AS (SELECT doc_id, 0 AS dir, s FROM ds UNION ALL SELECT doc_id, 1, reverse(translate(s, 'ACGT', 'TGCA')) FROM ds),
+qk AS (SELECT item_id, i::INT AS qpos, substring(s, i + 1, {K}) AS kmer FROM qs, unnest(range(0, greatest(length(s) - {K} + 1, 0))) AS t(i)),
+want AS (SELECT DISTINCT kmer FROM qk),
+rk AS (SELECT * FROM (SELECT doc_id, dir, i::INT AS rpos, substring(s, i + 1, {K}) AS kmer FROM rs, unnest(range(0, greatest(length(s) - {K} + 1, 0))) AS t(i)) SEMI JOIN want USING (kmer)),
+hits AS (SELECT kmer, count(*) AS hits FROM rk GROUP BY kmer)"""
+_KEPT = f"""{_SEEDS},
+few AS (SELECT kmer FROM hits WHERE hits <= {REPEAT}),
+sd AS (SELECT item_id, qpos, doc_id, dir, rpos FROM qk SEMI JOIN few USING (kmer) JOIN rk USING (kmer)),
+ev AS (SELECT item_id, qpos, lag(qpos) OVER (PARTITION BY item_id ORDER BY qpos) AS prev FROM qk SEMI JOIN few USING (kmer)),
+kept AS (
+  SELECT sd.* FROM sd JOIN ev USING (item_id, qpos)
+  WHERE prev IS DISTINCT FROM qpos - 1 OR NOT EXISTS (SELECT 1 FROM sd o WHERE o.item_id = sd.item_id AND o.doc_id = sd.doc_id AND o.dir = sd.dir AND o.qpos = sd.qpos - 1 AND o.rpos = sd.rpos - 1))"""
+
+
+def _ref(spark, sf_dir):
+    return seeds.reference_kmers(table(spark, sf_dir, "documents").select("doc_id", N.dna(F.col("text")).alias("s")), "doc_id", "s", K)
+
+
+def _query(spark, sf_dir):
+    return seeds.query_kmers(table(spark, sf_dir, "benchmark").select("item_id", N.dna(F.col("text")).alias("s")), "item_id", "s", K)
+
+
+def _kept(spark, sf_dir):
+    ref, own = _ref(spark, sf_dir), _query(spark, sf_dir)
+    few = seeds.counted_hits(ref, own).filter(F.col("hits") <= REPEAT).select("kmer")
+    known = own.join(few, "kmer")
+    return seeds.drop_adjacent(seeds.seed_join(ref, known), known.select("qid", "qpos"))
+
+
+@query(f"""WITH {_SEEDS} SELECT item_id, doc_id, dir, count(*) AS n_seeds, min(qpos) AS first_q, max(qpos) AS last_q, min(rpos) AS first_r
+FROM qk JOIN rk USING (kmer) GROUP BY item_id, doc_id, dir""")
+def seed_join(spark, sf_dir):
+    found = seeds.seed_join(_ref(spark, sf_dir), _query(spark, sf_dir))
+    out = found.groupBy(F.col("qid").alias("item_id"), F.col("rid").alias("doc_id"), "dir")
+    return out.agg(F.count("*").alias("n_seeds"), F.min("qpos").alias("first_q"), F.max("qpos").alias("last_q"), F.min("rpos").alias("first_r"))
+
+
+@query(f"""WITH {_SEEDS} SELECT kmer, hits, count(*) AS q_hits FROM hits JOIN qk USING (kmer) WHERE hits > {REPEAT} GROUP BY kmer, hits""")
+def seed_repeat_filter(spark, sf_dir):
+    return seeds.repetitive(_ref(spark, sf_dir), _query(spark, sf_dir), REPEAT)
+
+
+@query(f"WITH {_KEPT} SELECT item_id, qpos, doc_id, dir, rpos FROM kept")
+def seed_adjacent_antijoin(spark, sf_dir):
+    return _kept(spark, sf_dir).select(F.col("qid").alias("item_id"), "qpos", F.col("rid").alias("doc_id"), "dir", "rpos")
+
+
+@query(f"""WITH {_KEPT},
+m AS (SELECT *, rpos - qpos AS diagonal, CASE WHEN qpos - lag(qpos) OVER w <= 1 THEN 0 ELSE 1 END AS fresh FROM sd WINDOW w AS (PARTITION BY item_id, doc_id, dir, rpos - qpos ORDER BY qpos)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY item_id, doc_id, dir, diagonal ORDER BY qpos) AS run FROM m)
+SELECT item_id, doc_id, dir, diagonal, min(qpos) AS start_q, max(qpos) AS end_q, count(*) AS n FROM r GROUP BY item_id, doc_id, dir, diagonal, run""")
+def diagonal_chains(spark, sf_dir):
+    found = seeds.chains(seeds.seed_join(_ref(spark, sf_dir), _query(spark, sf_dir), REPEAT))
+    return found.select(F.col("qid").alias("item_id"), F.col("rid").alias("doc_id"), "dir", "diagonal", F.col("start").alias("start_q"), F.col("end").alias("end_q"), "n")
+
+
+@query(f"""WITH {_KEPT} SELECT item_id FROM qs ANTI JOIN sd USING (item_id)""")
+def unmapped_reads(spark, sf_dir):
+    found = seeds.seed_join(_ref(spark, sf_dir), _query(spark, sf_dir), REPEAT).select(F.col("qid").alias("item_id"))
+    return table(spark, sf_dir, "benchmark").select("item_id").join(found, "item_id", "left_anti")
+
+
+def _after(spark, sf_dir):
+    """Texts of both sides that follow each kept seed."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), N.dna(F.col("text")).alias("s"))
+    ref = seeds.strands(docs, "rid", "s").withColumnRenamed("seq", "rseq")
+    own = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), N.dna(F.col("text")).alias("qseq"))
+    rows = _kept(spark, sf_dir).join(own, "qid").join(ref, ["rid", "dir"])
+    return rows.select("qid", "qpos", "rid", "dir", "rpos", F.expr(f"substring(rseq, rpos + {K + 1})").alias("a"), F.expr(f"substring(qseq, qpos + {K + 1})").alias("b"))
+
+
+_HIT = " + ".join(f"CASE WHEN length(a) > {i} AND ({' OR '.join(f'substring(b, {j + 1}, 1) = substring(a, {i + 1}, 1)' for j in (i - 1, i, i + 1) if j >= 0)}) THEN 1 ELSE 0 END" for i in range(16))
+
+
+@query(f"""WITH {_KEPT},
+p AS (SELECT item_id, qpos, doc_id, dir, rpos, substring(rs.s, rpos + {K + 1}) AS a, substring(qs.s, qpos + {K + 1}) AS b FROM kept JOIN qs USING (item_id) JOIN rs USING (doc_id, dir))
+SELECT item_id, qpos, doc_id, dir, rpos, ({_HIT})::INT AS score FROM p WHERE {_HIT} > 10""")
+def gapless_filter(spark, sf_dir):
+    rows = _after(spark, sf_dir).withColumn("score", N.gapless_score(F.col("a"), F.col("b")))
+    return rows.filter("score > 10").select(F.col("qid").alias("item_id"), "qpos", F.col("rid").alias("doc_id"), "dir", "rpos", "score")
+
+
+def _extended(spark, sf_dir, p: Params):
+    rows = _after(spark, sf_dir)
+    reach = F.length("b") + p.resolved().xdrop // p.ge + 1  # further text can not be reached within the X-drop
+    pairs = rows.select(F.struct("qid", "qpos", "rid", "dir", "rpos").alias("id"), F.substring(F.col("a"), F.lit(1), reach).alias("a"), "b")
+    out = align.extend_pairs(pairs, p)
+    return out.select(F.col("id.qid").alias("item_id"), "id.qpos", F.col("id.rid").alias("doc_id"), "id.dir", "id.rpos", "score", "alen", "blen", N.cigar(F.col("path")).alias("cigar"))
+
+
+@query()
+def extend_affine(spark, sf_dir):
+    return _extended(spark, sf_dir, Params(k=K))
+
+
+@query()
+def extend_linear(spark, sf_dir):
+    return _extended(spark, sf_dir, Params(k=K, gi=0, ge=2))
+
+
+@query()
+def align_reads(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item"), "item_id").alias("name"), N.dna(F.col("text")).alias("seq"), "item_id")
+    ref = graph.build(items, order="item_id")
+    reads = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_ord"), N.dna(F.col("text")).alias("seq"))
+    found = mapper.align(ref, reads, Params(k=K, repeat=REPEAT))
+    return found.select(F.col("read_ord").alias("doc_id"), "ordinal", "score", N.cigar(F.col("path")).alias("cigar"), "sections")
+
+
+@query(f"""SELECT item_id, i::INT AS pos, substring(s, i + 1, {K}) AS kmer FROM (SELECT item_id, {_DNA} AS s FROM benchmark), unnest(range(0, greatest(length(s) - {K} + 1, 0))) AS t(i)""")
+def kmer_windows(spark, sf_dir):
+    return _query(spark, sf_dir).select(F.col("qid").alias("item_id"), F.col("qpos").alias("pos"), "kmer")
+
+
+@query(f"""WITH s AS (SELECT item_id, {_DNA} AS s FROM benchmark), b AS (SELECT item_id * 2 AS gid, s FROM s UNION ALL SELECT item_id * 2 + 1, reverse(translate(s, 'ACGT', 'TGCA')) FROM s),
+k AS (SELECT gid, i::INT AS pos, substring(s, i + 1, {K}) AS kmer FROM b, unnest(range(0, greatest(length(s) - {K} + 1, 0))) AS t(i))
+SELECT kmer, count(*) AS n, string_agg(gid || ':' || pos, ',' ORDER BY gid, pos) AS hits FROM k GROUP BY kmer""")
+def kmer_index(spark, sf_dir):
+    own = table(spark, sf_dir, "benchmark").select("item_id", N.dna(F.col("text")).alias("s"))
+    kmers = seeds.reference_kmers(own, "item_id", "s", K).select("kmer", (F.col("rid") * 2 + F.col("dir")).alias("gid"), F.col("rpos").alias("pos"))
+    spelled = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["gid"], h["pos"])), ",")
+    return graph.index(kmers).select("kmer", "n", spelled.alias("hits"))
+
+
+@query(f"""WITH ds AS (SELECT {_DNA} AS s FROM documents), k AS (SELECT substring(s, i + 1, {K}) AS kmer FROM ds, unnest(range(0, greatest(length(s) - {K} + 1, 0))) AS t(i)),
+c AS (SELECT kmer, count(*) AS n FROM k GROUP BY kmer) SELECT n AS multiplicity, count(*) AS kmers FROM c GROUP BY n""")
+def kmer_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", N.dna(F.col("text")).alias("s"))
+    counts = graph.linear_kmers(docs, "doc_id", "s", K).groupBy("kmer").agg(F.count("*").alias("n"))
+    return counts.groupBy(F.col("n").alias("multiplicity")).agg(F.count("*").alias("kmers"))
+
+
+@query(f"SELECT doc_id, length(s) AS n, md5(reverse(translate(s, 'ACGT', 'TGCA'))) AS rc FROM (SELECT doc_id, {_DNA} AS s FROM documents)")
+def revcomp(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", N.dna(F.col("text")).alias("s"))
+    return docs.select("doc_id", F.length("s").cast("long").alias("n"), F.md5(N.revcomp(F.col("s")).cast("binary")).alias("rc"))
+
+
+_CODE = "translate(regexp_replace(replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'U', 'T'), '[^ACMGRSVTWYHKDB]', 'N', 'g'), 'NACMGRSVTWYHKDB', '0123456789abcde')"
+
+
+@query(f"SELECT doc_id, md5({_CODE}) AS code, length(replace({_CODE}, '0', '')) AS known FROM documents")
+def iupac_encode(spark, sf_dir):
+    code = N.encode_4bit_text(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(code.cast("binary")).alias("code"), F.length(F.replace(code, F.lit("0"), F.lit(""))).cast("long").alias("known"))
+
+
+@query("""SELECT n_nationkey, n_nationkey * 2 + n_regionkey % 2 AS gid, xor(n_nationkey * 2 + n_regionkey % 2, 1) AS rev, 2 * (n_nationkey + 10) - n_regionkey - 1 AS mirrored FROM nation""")
+def gid_codec(spark, sf_dir):
+    g = N.gid(F.col("n_nationkey"), F.col("n_regionkey") % 2)
+    return table(spark, sf_dir, "nation").select("n_nationkey", g.alias("gid"), N.gid_reverse(g).alias("rev"), N.mirror(F.col("n_nationkey") + 10, F.col("n_regionkey")).alias("mirrored"))
+
+
+_IV = """iv AS (SELECT o_orderkey, epoch(o_orderdate)::BIGINT // 86400 AS lkey, epoch(o_orderdate)::BIGINT // 86400 + 1 + o_orderkey % 60 AS rkey FROM orders),
+q AS (SELECT n_nationkey, 9131 + 90 * n_nationkey AS l, 9131 + 90 * n_nationkey + 5 + 3 * n_regionkey AS r FROM nation)"""
+
+
+def _intervals(spark, sf_dir):
+    lkey = days("o_orderdate").cast("long")
+    iv = table(spark, sf_dir, "orders").select("o_orderkey", lkey.alias("lkey"), (lkey + 1 + F.col("o_orderkey") % 60).alias("rkey"))
+    l = (9131 + 90 * F.col("n_nationkey")).cast("long")
+    return iv, table(spark, sf_dir, "nation").select("n_nationkey", l.alias("l"), (l + 5 + 3 * F.col("n_regionkey")).alias("r"))
+
+
+def _iv_sql(on: str) -> str:
+    return f"WITH {_IV} SELECT n_nationkey, o_orderkey, lkey, rkey FROM iv JOIN q ON {on}"
+
+
+def _iv_out(rows):
+    return rows.select("n_nationkey", "o_orderkey", "lkey", "rkey")
+
+
+@query(_iv_sql("lkey >= l AND lkey < r AND rkey < r"))
+def iv_contained(spark, sf_dir):
+    return _iv_out(intervals.contained(*_intervals(spark, sf_dir)))
+
+
+@query(_iv_sql("lkey <= l AND rkey >= r"))
+def iv_containing(spark, sf_dir):
+    return _iv_out(intervals.containing(*_intervals(spark, sf_dir)))
+
+
+@query(_iv_sql("lkey < r AND rkey > l"))
+def iv_intersect(spark, sf_dir):
+    return _iv_out(intervals.intersect(*_intervals(spark, sf_dir)))
+
+
+def _nearest(spark, sf_dir, left):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", micros("ts").alias("key"))
+    keys = rows.filter("event_type = 'purchase'").select("user_id", "key")
+    probes = rows.filter("event_type = 'click'").select("event_id", "user_id", "key")
+    return intervals.nearest(keys, probes, ["user_id"], left).select("event_id", F.col("key").alias("at"), "found")
+
+
+_NEAR = "WITH e AS (SELECT *, epoch_us(ts) AS k FROM events) SELECT p.event_id, p.k AS at, {agg}(o.k) AS found FROM e p LEFT JOIN e o ON o.user_id = p.user_id AND o.event_type = 'purchase' AND o.k {op} p.k WHERE p.event_type = 'click' GROUP BY p.event_id, p.k"
+
+
+@query(_NEAR.format(agg="max", op="<="))
+def nearest_left(spark, sf_dir):
+    return _nearest(spark, sf_dir, True)
+
+
+@query(_NEAR.format(agg="min", op=">="))
+def nearest_right(spark, sf_dir):
+    return _nearest(spark, sf_dir, False)
+
+
+@query("SELECT event_type, (row_number() OVER (ORDER BY min(event_id)) - 1)::INT AS id FROM events GROUP BY event_type")
+def dict_encode(spark, sf_dir):
+    return graph.dictionary(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query("""WITH c AS (SELECT l_partkey % 256 AS bin, count(*) AS n FROM lineitem GROUP BY 1) SELECT bin, n, coalesce(sum(n) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c""")
+def histogram_partial_final(spark, sf_dir):
+    return ordering.histogram(table(spark, sf_dir, "lineitem"), F.col("l_partkey"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey & 255, o_orderkey) - 1 AS n FROM orders")
+def radix_sort_stable(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").bitwiseAND(255).alias("digit"))
+    return ordering.numbered(rows, "digit", "o_orderkey").select("o_orderkey", "n")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders")
+def row_counter(spark, sf_dir):
+    return ordering.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "n")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100")
+def topk_min_heap(spark, sf_dir):
+    return ordering.smallest(table(spark, sf_dir, "orders"), 100, "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 1")
+def queue_get_filtered(spark, sf_dir):
+    return ordering.first_match(table(spark, sf_dir, "events"), F.col("event_type") == "error", "event_id").select("event_id", "user_id")
+
+
+@query("""SELECT event_id, user_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NULL OR value > b""")
+def running_argmax(spark, sf_dir):
+    return ordering.running_best(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["user_id"], "event_id", "value")
+
+
+def _lines(spark, sf_dir):
+    """Line items with a total order within their order, as line numbers repeat."""
+    return table(spark, sf_dir, "lineitem").withColumn("place", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, sum(l_quantity::BIGINT - 25) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS c FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY c, l_linenumber) AS n FROM s) SELECT l_orderkey, l_linenumber AS at, c::BIGINT AS least FROM r WHERE n = 1""")
+def prefix_argmin(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    out = ordering.prefix_argmin(rows, ["l_orderkey"], "place", F.col("l_quantity").cast("long") - 25)
+    return out.select("l_orderkey", F.col("at.l_linenumber").alias("at"), "least")
+
+
+@query("""SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM lineitem""")
+def cum_offset(spark, sf_dir):
+    rows = ordering.offsets(_lines(spark, sf_dir), ["l_orderkey"], "place", F.col("l_quantity").cast("long"))
+    return rows.select("l_orderkey", "l_linenumber", "offset")
+
+
+@query("""SELECT l_orderkey, l_linenumber, (row_number() OVER w - 1)::INT AS ordinal, lag(l_linenumber) OVER w AS prev, lead(l_linenumber) OVER w AS next, row_number() OVER w = 1 AS "primary" FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""")
+def prev_next_link(spark, sf_dir):
+    return ordering.linked(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
+
+
+@query("""WITH c AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber FROM r JOIN c USING (l_orderkey) WHERE k <= n""")
+def distinct_by_score(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return ordering.distinct_scores(rows, "l_orderkey", "l_suppkey", "l_linenumber").select("l_orderkey", "l_linenumber")
+
+
+def _nations(spark, sf_dir):
+    """Nations as segments, linked to their region's segment."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    segs = region.select(F.col("r_name").alias("name"), F.col("r_name").alias("seq"), F.col("r_regionkey").cast("long").alias("o"))
+    segs = segs.unionByName(nation.select(F.col("n_name").alias("name"), F.col("n_name").alias("seq"), (F.col("n_nationkey") + 100).cast("long").alias("o")))
+    links = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    links = links.select(F.col("n_name").alias("src"), (F.col("n_nationkey") % 2).alias("src_ori"), F.col("r_name").alias("dst"), F.lit(0).alias("dst_ori"), (F.col("n_nationkey") + 200).cast("long").alias("o"))
+    return graph.build(segs, links, "o")
+
+
+_NATIONS = """ids AS (SELECT r_name AS name, row_number() OVER (ORDER BY r_regionkey) - 1 AS id FROM region UNION ALL SELECT n_name, (SELECT count(*) FROM region) + row_number() OVER (ORDER BY n_nationkey) - 1 FROM nation),
+l AS (SELECT a.id * 2 + n_nationkey % 2 AS src, b.id * 2 AS dst, n_nationkey + 200 AS ord FROM nation JOIN region ON n_regionkey = r_regionkey JOIN ids a ON a.name = n_name JOIN ids b ON b.name = r_name),
+e AS (SELECT src, dst, ord FROM l UNION ALL SELECT xor(dst, 1), xor(src, 1), ord FROM l)"""
+
+
+@query(f"WITH {_NATIONS} SELECT src::INT AS src, dst::INT AS dst, ord::BIGINT AS ord FROM e")
+def link_mirror_union(spark, sf_dir):
+    return _nations(spark, sf_dir).edges
+
+
+@query(f"WITH {_NATIONS}, g AS (SELECT (id * 2 + d)::INT AS gid FROM ids, (VALUES (0), (1)) t(d)) SELECT gid, coalesce(string_agg(dst, ',' ORDER BY ord, dst), '') AS succ FROM g LEFT JOIN e ON e.src = g.gid GROUP BY gid")
+def adjacency(spark, sf_dir):
+    return _nations(spark, sf_dir).successors().select("gid", F.array_join("succ", ",").alias("succ"))
+
+
+@query(f"WITH {_NATIONS} SELECT count(*) AS sections, sum(length(name))::BIGINT AS total_len FROM ids")
+def graph_totals(spark, sf_dir):
+    return _nations(spark, sf_dir).total_length()
+
+
+@query(f"WITH s AS (SELECT item_id, {_DNA} AS s FROM benchmark) SELECT item_id, 0 AS dir, s AS seq FROM s UNION ALL SELECT item_id, 1, reverse(translate(s, 'ACGT', 'TGCA')) FROM s")
+def strand_union(spark, sf_dir):
+    return seeds.strands(table(spark, sf_dir, "benchmark").select("item_id", N.dna(F.col("text")).alias("s")), "item_id", "s")
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
+def distinct_positions(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+
+
+@query(f"WITH {_KEPT} SELECT item_id, qpos, doc_id, dir, rpos FROM sd EXCEPT ALL SELECT item_id, qpos, doc_id, dir, rpos FROM kept")
+def diff_seeds(spark, sf_dir):
+    every = seeds.seed_join(_ref(spark, sf_dir), _query(spark, sf_dir), REPEAT)
+    return every.exceptAll(_kept(spark, sf_dir).select(every.columns)).select(F.col("qid").alias("item_id"), "qpos", F.col("rid").alias("doc_id"), "dir", "rpos")
+
+
+_TINY = [("sec0", "GGRA", 0), ("sec1", "M", 1), ("sec2", "ACVVGTGT", 3)]
+_TINY_LINKS = [("sec0", 0, "sec1", 0, 2), ("sec1", 0, "sec2", 0, 4), ("sec0", 0, "sec2", 0, 5)]
+
+
+def tiny_graph(spark):
+    segs = spark.createDataFrame(_TINY, "name string, seq string, o long")
+    return graph.build(segs, spark.createDataFrame(_TINY_LINKS, "src string, src_ori int, dst string, dst_ori int, o long"), "o")
+
+
+@query("""WITH RECURSIVE sec(gid, s) AS (VALUES (0, 'GGRA'), (2, 'M'), (4, 'ACVVGTGT')), edge(a, b) AS (VALUES (0, 2), (2, 4), (0, 4)),
+iupac(c, b) AS (VALUES ('A','A'),('C','C'),('G','G'),('T','T'),('R','A'),('R','G'),('M','A'),('M','C'),('V','A'),('V','C'),('V','G')),
+p AS (SELECT gid, gid AS at, length(s) AS n, s, 0 AS prev, 3 AS need, '' AS route FROM sec
+  UNION ALL SELECT p.gid, e.b, p.n, p.s || substring(x.s, 1, need), length(p.s), need - least(need, length(x.s)), p.route || '>' || e.b FROM p JOIN edge e ON e.a = p.at JOIN sec x ON x.gid = e.b WHERE need > 0),
+w AS (SELECT gid, i AS pos, route, substring(s, i + 1, 4) AS k FROM p, unnest(range(0, greatest(length(s) - 3, 0))) AS t(i) WHERE i < n AND i + 4 > prev)
+SELECT gid, pos::INT AS pos, route, a.b || c.b || g.b || t.b AS kmer FROM w JOIN iupac a ON a.c = k[1] JOIN iupac c ON c.c = k[2] JOIN iupac g ON g.c = k[3] JOIN iupac t ON t.c = k[4]""")
+def graph_kmers(spark, sf_dir):
+    found = graph.graph_kmers(tiny_graph(spark), 4)
+    return found.select("gid", "pos", F.concat_ws("", F.transform("route", lambda g: F.concat(F.lit(">"), g.cast("string")))).alias("route"), "kmer")
+
+
+_PATH = f"translate({_DNA}, 'ACGT', 'RDRD')"
+_TOKENS = f"list_transform(regexp_extract_all(replace(replace(replace({_PATH}, 'DR', 'M'), 'D', 'I'), 'R', 'D'), 'M+|I+|D+'), lambda x: length(x) || x[1])"
+
+
+@query(f"SELECT doc_id, md5(array_to_string({_TOKENS}, '')) AS cigar, md5(array_to_string(list_reverse({_TOKENS}), '')) AS reverse_cigar FROM documents")
+def path_rle_cigar(spark, sf_dir):
+    path = F.translate(N.dna(F.col("text")), "ACGT", "RDRD")
+    md5 = lambda c: F.md5(c.cast("binary"))
+    return table(spark, sf_dir, "documents").select("doc_id", md5(N.cigar(path)).alias("cigar"), md5(N.cigar_reverse(path)).alias("reverse_cigar"))
+
+
+def _pseudo(spark, sf_dir):
+    """Chains of seeds as alignments of items to documents, and both section tables."""
+    found = seeds.chains(seeds.seed_join(_ref(spark, sf_dir), _query(spark, sf_dir), REPEAT))
+    size = (F.col("end") - F.col("start") + K).cast("int")
+    zero = F.lit(0)
+    section = F.struct(
+        (F.col("rid") * 2 + F.col("dir")).cast("int").alias("aid"), (F.col("qid") * 2).cast("int").alias("bid"),
+        (F.col("start") + F.col("diagonal")).cast("int").alias("apos"), F.col("start").cast("int").alias("bpos"), size.alias("alen"), size.alias("blen"), zero.alias("ppos"),
+    )
+    key = F.struct("qid", "rid", "dir", "diagonal", "start")
+    aligned = found.select(key.alias("read_ord"), zero.alias("ordinal"), F.expr(f"repeat('DR', cast(end - start + {K} as int))").alias("path"), F.array(section).alias("sections"))
+
+    def sections(name, key, prefix):
+        rows = table(spark, sf_dir, name).select(F.col(key).alias("i"), N.dna(F.col("text")).alias("s"))
+        both = seeds.strands(rows, "i", "s")
+        return both.select((F.col("i") * 2 + F.col("dir")).cast("int").alias("gid"), F.concat(F.lit(prefix), "i").alias("name"), F.length("seq").alias("len"), "seq")
+
+    return aligned, sections("documents", "doc_id", "doc"), sections("benchmark", "item_id", "item")
+
+
+_CHAINED = f"""WITH {_KEPT},
+m AS (SELECT *, rpos - qpos AS diagonal, CASE WHEN qpos - lag(qpos) OVER w <= 1 THEN 0 ELSE 1 END AS fresh FROM sd WINDOW w AS (PARTITION BY item_id, doc_id, dir, rpos - qpos ORDER BY qpos)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY item_id, doc_id, dir, diagonal ORDER BY qpos) AS run FROM m),
+ch AS (SELECT item_id, doc_id, dir, diagonal, min(qpos) AS b, max(qpos) - min(qpos) + {K} AS n FROM r GROUP BY item_id, doc_id, dir, diagonal, run),
+al AS (SELECT ch.*, b + diagonal AS a, length(rs.s) AS rlen, qs.s AS q, length(qs.s) AS qlen FROM ch JOIN qs USING (item_id) JOIN rs USING (doc_id, dir))"""
+
+
+@query(f"""{_CHAINED} SELECT concat_ws(chr(9), 'item' || item_id, CASE WHEN dir = 1 THEN 16 ELSE 0 END, 'doc' || doc_id, CASE WHEN dir = 1 THEN rlen - a - n ELSE a END + 1, 255,
+CASE WHEN dir = 1 THEN (CASE WHEN qlen - b - n > 0 THEN (qlen - b - n) || 'S' ELSE '' END) || n || 'M' || (CASE WHEN b > 0 THEN b || 'S' ELSE '' END)
+ELSE (CASE WHEN b > 0 THEN b || 'S' ELSE '' END) || n || 'M' || (CASE WHEN qlen - b - n > 0 THEN (qlen - b - n) || 'S' ELSE '' END) END,
+'*', 0, 0, CASE WHEN dir = 1 THEN reverse(translate(q, 'ACGT', 'TGCA')) ELSE q END, '*', 'RG:Z:1') AS line FROM al""")
+def sam_projection(spark, sf_dir):
+    return writers.sam_records(*_pseudo(spark, sf_dir)).select("line")
+
+
+@query(f"""{_CHAINED}, num AS (SELECT *, row_number() OVER (ORDER BY item_id, doc_id, dir, diagonal, b) - 1 AS id FROM al)
+SELECT concat_ws(chr(9), 'A', id, 'doc' || doc_id, CASE WHEN dir = 1 THEN rlen - a ELSE a END, n, CASE WHEN dir = 1 THEN '-' ELSE '+' END, 'item' || item_id, b, n, '+', n || 'M', '*', '*', 'MQ:i:255') AS line FROM num""")
+def gpa_projection(spark, sf_dir):
+    return writers.gpa_records(*_pseudo(spark, sf_dir)).select("line")
+
+
+@query("""SELECT conv_id || '_' || turn AS name, role AS comment, regexp_replace(replace(text, '>', ''), '[^!-~]', '', 'g') AS seq FROM conversations""")
+def fasta_scan(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    parts = rows.select(F.concat(F.concat_ws("_", "conv_id", "turn"), F.lit(" "), "role", F.lit("\n"), F.replace("text", F.lit(">"), F.lit(""))).alias("value"))
+    return readers.fasta(parts).select("name", "comment", "seq")
+
+
+@query("SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events GROUP BY event_type")
+def stream_drain(spark, sf_dir):
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-")
+    run = f"{base.rstrip('/')}/drain-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    schema = table(spark, sf_dir, "events").schema
+    rows = drain(spark, sf_dir, schema, lambda s: s.select("event_id", "user_id", "event_type"), f"{run}/out", f"{run}/state", name="events.parquet")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
