@@ -66,7 +66,9 @@ def sam_records(alignments: DataFrame, ref: DataFrame, query: DataFrame, clip: s
     head, tail = F.col("bpos"), F.length("bseq") - F.col("bpos") - F.col("blen")
     cut = lambda n: F.when(n > 0, F.concat(n.cast("string"), mark)).otherwise("")
     ops = F.when(back, F.concat(cut(tail), cigar_reverse(_piece()), cut(head))).otherwise(F.concat(cut(head), cigar(_piece()), cut(tail)))
-    whole = F.when(mark == "S", F.col("bseq")).otherwise(F.substring(F.col("bseq"), F.col("bpos") + 1, F.col("blen")))
+    # a reversed record shows the reverse complement of the forward strand, and its places count on that strand
+    text = F.when(back & (F.col("bid") % 2 == 1), revcomp(F.col("bseq"))).otherwise(F.col("bseq"))
+    whole = F.when(mark == "S", text).otherwise(F.substring(text, F.col("bpos") + 1, F.col("blen")))
     seq = F.when(back, revcomp(whole)).otherwise(whole)
     line = F.concat_ws(
         "\t", "bname", flag, "aname", pos, F.lit(255), ops,
