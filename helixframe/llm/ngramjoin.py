@@ -17,7 +17,9 @@ has its whole word sequence as one. Two documents link when
 3. The documents of one list and band go to the shard named by the one of them
    with the least hash, so lists over the same documents fall together and each
    document is sent to few shards. Shards over ``TILE`` documents are compared in
-   tiles of bounded size.
+   tiles of bounded size. There, histograms of the sets (a byte for every four to
+   eight shingles) first bound each pair's overlap from above; only documents with
+   a partner that the bound allows go on with their texts.
 4. In a tile, T-occurrence search by DivideSkip: for each document the long
    inverted lists of its shingles are set aside, the short ones are merged and
    counted, and documents that could still reach the overlap are looked up in
@@ -44,6 +46,7 @@ from .neardup import runs
 WORDS = 5
 SKETCH = 1 << 18
 TILE = 512
+MASK = 1 << 23
 _CHUNK = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -117,15 +120,23 @@ def digest(s: np.ndarray) -> str | None:
     return xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """Shingles counted by their top bits, one byte a cell; empty where a cell is too full."""
+    bits = max(len(s).bit_length() - 3, 0)
+    cells = np.bincount((s >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64), minlength=1 << bits)
+    return cells.astype(np.uint8).tobytes() if cells.max(initial=0) < 256 else b""
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, digest`` for each row, and rows ``bucket, count`` of the sketch, as one table (the others null)."""
+    """``doc_id, n, digest, cells`` for each row, and rows ``bucket, count`` of the sketch, as one table (the others null)."""
 
     def run(batches):
         shingler, counts = Shingler(), np.zeros(SKETCH, np.int64)
         for b in batches:
-            n, own = [], []
+            n, own, cells = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingler.set(t)
+                cells.append(histogram(s))
                 counts += np.bincount((s >> np.uint64(46)).astype(np.int64), minlength=SKETCH) if len(s) > 20_000 else 0
                 if len(s) <= 20_000:
                     # distinct shingles of one text may share a bucket
@@ -133,15 +144,15 @@ def profile(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 own.append(digest(s))
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(n)), b.column(0), pa.array(n, pa.int64()), pa.array(own, pa.string()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(n)), b.column(0), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(cells, pa.binary()), none, none], names=names)
         at = np.flatnonzero(counts)
         for lo in range(0, len(at), 1 << 16):
             part = at[lo : lo + (1 << 16)]
             k, none = len(part), pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([False] * k), none, none, pa.nulls(k, pa.string()), pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([False] * k), none, none, pa.nulls(k, pa.string()), pa.nulls(k, pa.binary()), pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], names=names)
 
-    names = ["is_doc", "doc_id", "n", "digest", "bucket", "count"]
-    return documents(docs).mapInArrow(run, "is_doc boolean, doc_id long, n long, digest string, bucket long, count long")
+    names = ["is_doc", "doc_id", "n", "digest", "cells", "bucket", "count"]
+    return documents(docs).mapInArrow(run, "is_doc boolean, doc_id long, n long, digest string, cells binary, bucket long, count long")
 
 
 def levels(sketch: DataFrame) -> np.ndarray:
@@ -289,15 +300,75 @@ def forest(sets: list[np.ndarray], left: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """``a, b``: digests of linked sets, a spanning forest for each tile."""
+def tiles(placed: DataFrame) -> DataFrame:
+    """``shard, band, i, j, left, doc_id``: rows of tile (i, j), i <= j, in which part i meets parts i and j."""
     sizes = placed.groupBy("shard", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     rows = placed.join(sizes, ["shard", "band"])
     own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    # tile (i, j), i <= j: documents of part i against those of parts i and j
     at = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), (own <= k).alias("left")))
-    rows = rows.select("shard", "band", "doc_id", F.explode(at).alias("at")).select("shard", "band", "at.i", "at.j", "at.left", "doc_id")
-    full = rows.join(documents(docs).dropna(subset=["doc_id"]), "doc_id").select("shard", "band", "i", "j", "left", "text")
+    return rows.select("shard", "band", "doc_id", F.explode(at).alias("at")).select("shard", "band", "at.i", "at.j", "at.left", "doc_id")
+
+
+def possible(sizes: np.ndarray, cells: list[bytes], left: np.ndarray) -> np.ndarray:
+    """Documents of a tile with a partner whose overlap, bounded by the histograms, may reach what a link takes."""
+    m = len(sizes)
+    known = np.array([len(c) for c in cells])
+    keep = known == 0
+    if keep.any():  # no histogram, no bound: all of a fitting size stay
+        for q in np.flatnonzero(keep):
+            keep |= (5 * sizes >= 4 * sizes[q]) & (5 * sizes[q] >= 4 * sizes)
+    for width in np.unique(known[known > 0]):
+        at = np.flatnonzero((known == width) | (known == 2 * width))
+        table = np.zeros((len(at), width), np.uint16)
+        for k, i in enumerate(at):
+            c = np.frombuffer(cells[i], np.uint8)
+            table[k] = c if len(c) == width else c.reshape(width, 2).sum(1)
+        n, side = sizes[at], left[at]
+        exact = known[at] == width
+        for k in range(len(at)):
+            if not side[k]:
+                continue
+            # each pair once; where both are twice as wide, their own width decides
+            fit = (5 * n >= 4 * n[k]) & (5 * n[k] >= 4 * n) & ((np.arange(len(at)) > k) | ~side) & (exact | exact[k])
+            near = np.flatnonzero(fit)
+            if len(near):
+                bound = np.minimum(table[near], table[k]).sum(1)
+                hit = near[bound >= least_overlap(n[k], n[near])]
+                if len(hit):
+                    keep[at[hit]] = keep[at[k]] = True
+    return keep if m else np.zeros(0, bool)
+
+
+def screen(placed: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of ``placed`` whose document has a possible partner in its tile, by sizes and histograms."""
+    rows = tiles(placed).join(own.filter("doc_id is not null and n > 0").select("doc_id", "n", "cells"), "doc_id").select("shard", "band", "i", "j", "left", "doc_id", "n", "cells")
+
+    def run(batches):
+        for t in runs(batches, 4):
+            keep = possible(t.column("n").to_numpy(), t.column("cells").to_pylist(), t.column("left").to_numpy(zero_copy_only=False))
+            if keep.any():
+                yield from t.select(["shard", "band", "doc_id"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    keys = ["shard", "band", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "shard long, band int, doc_id long").distinct()
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be among ``ids``, by a bit mask of fixed size (``MASK`` bits, so 2 MB are broadcast).
+
+    It spares the shuffle of texts that no one asks for; a join decides afterwards.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MASK))
+    word, bit = F.shiftright(place, 6), (place % 64).cast("int")
+    mask = ids.select(word.alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("_w").agg(F.bit_or("b").alias("_bits"))
+    marked = docs.withColumn("_word", word).join(F.broadcast(mask), F.col("_word") == F.col("_w"))
+    return marked.filter(F.call_function("getbit", F.col("_bits"), bit) == 1).select(*docs.columns)
+
+
+def links(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``a, b``: digests of linked sets, a spanning forest for each tile."""
+    texts = only(documents(docs).dropna(subset=["doc_id"]), placed)
+    full = tiles(placed).join(texts, "doc_id").select("shard", "band", "i", "j", "left", "text")
 
     def run(batches):
         shingler = Shingler()
@@ -325,6 +396,7 @@ def join(docs: DataFrame) -> DataFrame:
     level = levels(known.filter("not is_doc"))
     own = known.filter("is_doc").select("doc_id", "n", "digest")
     placed = materialise(shards(prefixes(docs, level)))
+    placed = materialise(screen(placed, known.filter("is_doc")))
     groups = components(links(docs, placed))
     classes = own.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     groups = groups.select(F.col("node").alias("digest"), "component")
