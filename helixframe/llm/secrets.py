@@ -96,7 +96,7 @@ def trigram_query(pattern: str) -> Query:
                     chars |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
                 else:
                     return None
-            return chars if len(chars) <= 4 else None
+            return chars if len(chars) <= 8 else None
         if op is C.SUBPATTERN:
             return spell(arg[3])
         if op is C.BRANCH:
