@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import documents, map_texts
 from .tokens import Recent
 
-CACHE = 250_000  # pieces in each of two generations
+CACHE = 500_000  # pieces in each of two generations
 PAIRS = 1_000_000
 
 
@@ -83,7 +83,7 @@ class Codec:
         self.split = regex.compile(pattern)
         self.bytes_id = [self.ranks[bytes([b])] for b in range(256)]
         self.queue = RankQueue(self.size)
-        self.known = Recent(CACHE)
+        self.known = Recent(CACHE, self._packed)
         tokens = [b""] * self.size
         for t, r in self.ranks.items():
             tokens[r] = t
@@ -152,10 +152,7 @@ class Codec:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if len(self.pairs) > PAIRS:
             self.pairs.clear()  # between texts only: a queue in use relies on them
-        return b"".join(self.known.many(self.split.findall(text), self._several))
-
-    def _several(self, pieces: list[str]) -> list[bytes]:
-        return [self._packed(p) for p in pieces]
+        return b"".join(map(self.known.__getitem__, self.split.findall(text)))
 
     def decode(self, packed: bytes) -> bytes:
         """Bytes of ids packed by :meth:`encode`."""

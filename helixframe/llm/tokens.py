@@ -12,12 +12,12 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-CACHE = 300_000  # pieces in each of two generations
-BLOCK = 512
+CACHE = 500_000  # pieces in each of two generations
 _BIG = sys.byteorder == "big"
 LONG = 256  # characters of a piece that is not kept in the table
 
@@ -40,35 +40,28 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
-class Recent:
-    """A table of bounded size, in two generations: what is used again moves to the new one, and the old one goes when that is full."""
+class Recent(dict):
+    """A table of bounded size that makes what it lacks, in two generations.
 
-    def __init__(self, size: int) -> None:
-        self.size = size
-        self.new: dict[str, bytes] = {}
+    What is used again moves to the new generation, and the old one goes when that
+    is full.
+    """
+
+    def __init__(self, size: int, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.size, self.make = size, make
         self.old: dict[str, bytes] = {}
 
-    def many(self, keys: list[str], make) -> list[bytes]:
-        """Values of ``keys``; ``make`` gets the list of different keys that are not known."""
-        if len(self.new) > self.size:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        got = list(map(new.get, keys))
-        if None in got:
-            gaps = [i for i, v in enumerate(got) if v is None]
-            fresh = {}
-            for i in gaps:
-                k = keys[i]
-                if k not in fresh:
-                    fresh[k] = old.get(k)
-            absent = [k for k, v in fresh.items() if v is None]
-            for lo in range(0, len(absent), 4096):
-                part = absent[lo : lo + 4096]
-                fresh.update(zip(part, make(part)))
-            for i in gaps:
-                got[i] = fresh[keys[i]]
-            new.update(kv for kv in fresh.items() if len(kv[0]) <= LONG)
-        return got
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Encoder:
@@ -88,35 +81,28 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.blanks = blanks
-        self.known = Recent(CACHE)
+        self.known = Recent(CACHE, self._merged)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _merged(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, by the library's model."""
-        merge, letters = self.model.tokenize, self.letters
-        out = [array("I", [t.id for t in merge(p.encode().decode("latin-1").translate(letters))]) for p in pieces]
-        return [np.frombuffer(a, np.uint32).astype("<u4").tobytes() if _BIG else a.tobytes() for a in out]
+    def _merged(self, piece: str) -> bytes:
+        """Ids of one piece, by the library's model."""
+        out = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        if _BIG:
+            out.byteswap()
+        return out.tobytes()
+
+    def one(self, text: str) -> bytes:
+        """Ids of a text."""
+        if _ODD.search(text):
+            return self._whole(text)
+        pieces = _WITH_BLANKS.findall(text) if self.blanks else _NO_BLANKS.findall(text.lower())
+        return b"".join(map(self.known.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        out: list[bytes] = []
-        for lo in range(0, len(texts), BLOCK):
-            out += self._block(texts[lo : lo + BLOCK])
-        return out
-
-    def _block(self, texts: list[str]) -> list[bytes]:
-        units: list[str] = []
-        ends, whole = [], {}
-        for i, t in enumerate(texts):
-            if _ODD.search(t):
-                whole[i] = self._whole(t)
-            else:
-                units += _WITH_BLANKS.findall(t) if self.blanks else _NO_BLANKS.findall(t.lower())
-            ends.append(len(units))
-        ids = self.known.many(units, self._merged)
-        return [whole[i] if i in whole else b"".join(ids[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
+        return [self.one(t) for t in texts]
 
 
 @lru_cache(2)
