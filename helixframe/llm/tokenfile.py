@@ -101,18 +101,28 @@ def read_blocks(path: str):
 
 
 def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """``doc_id, n_tokens, ids``: ids of each text and the end id, as little-endian integers of 32 bits."""
+    """``doc_id, n_tokens, ids``: ids of each text and the end id, as little-endian integers.
+
+    One more row a task has ``counts`` alone: how often each id came.
+    """
+    names = ["doc_id", "n_tokens", "ids", "counts"]
 
     def run(batches):
         enc = encoder(path, True)
         tail = np.array([end], "<u4").tobytes()
+        total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            own, texts = b.column(0), b.column(1).to_pylist()
             for lo in range(0, len(texts), 2048):
                 ids = [x + tail for x in enc.encode(texts[lo : lo + 2048])]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names[lo : lo + 2048], pa.int64()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array([_narrow(x) for x in ids], pa.binary())})
+                counts = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
+                counts[: len(total)] += total
+                total = counts
+                n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([own.slice(lo, len(ids)), n, pa.array([_narrow(x) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def _narrow(packed: bytes) -> bytes:
@@ -129,17 +139,13 @@ def rank_table(ids: DataFrame) -> np.ndarray:
     """Ids by falling frequency, then by id; the driver gets one row for each id of the vocabulary in use."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for b in batches:
-            for n, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = np.bincount(_wide(packed, n))
-                if len(c) > len(total):
-                    total, c = c, total
-                total[: len(c)] += c
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
-
-    rows = ids.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            for packed in b.column(0).to_pylist():
+                total = np.frombuffer(packed, "<i8")
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    rows = ids.select("counts").filter("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
@@ -188,7 +194,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 0) -> list[dict]:
             store.delete_file(temp)
 
     keys = ["doc_id", "n_tokens", "_tie"]
-    dealt = ids.withColumn("_tie", F.crc32("ids")).repartitionByRange(*keys).sortWithinPartitions(*keys, "ids").select("doc_id", "n_tokens", "ids")
+    dealt = ids.filter("counts is null").withColumn("_tie", F.crc32("ids")).repartitionByRange(*keys).sortWithinPartitions(*keys, "ids").select("doc_id", "n_tokens", "ids")
     files = dealt.mapInArrow(run, "part long, path string, docs long, ids long").collect()
     return [r.asDict() for r in sorted(files, key=lambda r: r["part"])]
 
