@@ -121,20 +121,24 @@ def _best(ref: Sequences, query: Sequences, rg: int, rp: int, qg: int, qp: int,
     return found
 
 
-def extend_seed(ref: Sequences, query: Sequences, rg: int, rp: int, qg: int, qp: int, p: Params, route: list[int] | None = None) -> Result | None:
+def _seed_parts(side: Sequences, gid: int, pos: int, route: list[int] | None, k: int) -> list[tuple[int, int, int]]:
+    out = []
+    for n, g in enumerate([gid, *(route or [])]):
+        at = pos if n == 0 else 0
+        size = min(k, len(side.seq[g]) - at)
+        out.append((g, at, size))
+        k -= size
+    return out
+
+
+def extend_seed(ref: Sequences, query: Sequences, rg: int, rp: int, qg: int, qp: int, p: Params, route: list[int] | None = None, qroute: list[int] | None = None) -> Result | None:
     """The alignment through a seed of ``k`` matches at (rg, rp) and (qg, qp), or None below the threshold.
 
     The threshold holds for the two extensions without the seed; the score has it.
     """
-    seed_a, left = [], p.k
-    for n, g in enumerate([rg, *(route or [])]):
-        at = rp if n == 0 else 0
-        size = min(left, len(ref.seq[g]) - at)
-        seed_a.append((g, at, size))
-        left -= size
-    seed_b = [(qg, qp, p.k)]
-    g, at, size = seed_a[-1]
-    fw = _best(ref, query, g, at + size, qg, qp + p.k, p)
+    seed_a, seed_b = _seed_parts(ref, rg, rp, route, p.k), _seed_parts(query, qg, qp, qroute, p.k)
+    (g, at, size), (h, bt, bsize) = seed_a[-1], seed_b[-1]
+    fw = _best(ref, query, g, at + size, h, bt + bsize, p)
     rv = _best(ref, query, rg ^ 1, len(ref.seq[rg]) - rp, qg ^ 1, len(query.seq[qg]) - qp, p)
     if fw[0].score + rv[0].score <= p.score:
         return None
@@ -157,10 +161,10 @@ def _merged(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def _track(sections: list[Section], path: str) -> list[tuple[int, int, int]]:
-    """``(qpos, rgid, rpos)`` at each query letter of the path on forward query sections."""
+    """``(place, rgid, rpos)`` at each query letter of the path; a place is the query's gid and position in one number."""
     out = []
-    for aid, _, apos, bpos, alen, blen, ppos in sections:
-        r, q = apos, bpos
+    for aid, bid, apos, bpos, alen, blen, ppos in sections:
+        r, q = apos, place(bid, bpos)
         for c in path[ppos : ppos + alen + blen]:
             if c == "D":
                 out.append((q, aid, r))
@@ -170,6 +174,10 @@ def _track(sections: list[Section], path: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def place(gid: int, pos: int) -> int:
+    return (gid << 40) + pos
+
+
 def covered(results: list[Result], q: int, g: int, r: int, width: int) -> bool:
     """Whether a result passes within the band of a seed at the seed's query position."""
     return any(g == tg and 0 <= t + width - r < 2 * width for res in results for tq, tg, t in res.track if tq == q)
@@ -193,13 +201,13 @@ def upsert(results: list[Result], new: Result) -> None:
     results.append(new)
 
 
-def align_read(ref: Sequences, query: Sequences, seeds: list[tuple[int, int, int, int, list[int]]], p: Params) -> list[Result]:
-    """Results of one read, in order of discovery; ``seeds`` are ``(qgid, qpos, rgid, rpos, route)`` in order."""
+def align_read(ref: Sequences, query: Sequences, seeds: list[tuple], p: Params) -> list[Result]:
+    """Results of one read or query graph, in order of discovery; ``seeds`` are ``(qgid, qpos, rgid, rpos, route[, qroute])`` in order."""
     results: list[Result] = []
-    for qg, qp, rg, rp, route in seeds:
-        if covered(results, qp, rg, rp, p.overlap):
+    for qg, qp, rg, rp, route, *qroute in seeds:
+        if covered(results, place(qg, qp), rg, rp, p.overlap):
             continue
-        new = extend_seed(ref, query, rg, rp, qg, qp, p, route)
+        new = extend_seed(ref, query, rg, rp, qg, qp, p, route, *qroute)
         if new is not None:
             upsert(results, new)
     return results
@@ -252,6 +260,36 @@ def align(ref: Graph, reads: DataFrame, params: Params, filters: Callable[[DataF
     return rows.mapInPandas(run, ALIGNMENT)
 
 
+def align_graph(ref: Graph, query: Graph, params: Params) -> DataFrame:
+    """Results of a query graph, as one read numbered 0, on a reference graph.
+
+    A graph is one work item, as its results depend on each other; both graphs
+    may have ``MOST_REFERENCE`` letters at most (checked).
+    """
+    p = params.resolved()
+    for g in (ref, query):
+        if g.total_length().first()["total_len"] > MOST_REFERENCE:
+            raise ValueError(f"a graph has more than {MOST_REFERENCE} letters")
+    spark = ref.spark
+    held = spark.sparkContext.broadcast((_load(ref), _load(query)))
+    kmers = graph_kmers(ref, p.k, both_strands=True)
+    own = graph_kmers(query, p.k).select("kmer", F.col("gid").alias("qgid"), F.col("pos").alias("qpos"), F.col("route").alias("qroute"))
+    few = counted_hits(kmers, own).filter(F.col("hits") <= p.repeat)
+    seeds = own.join(few.select("kmer"), "kmer").join(kmers, "kmer").select("qgid", "qpos", "gid", "pos", "route", "qroute")
+    rows = seeds.groupBy(F.lit(0).alias("one")).agg(F.array_sort(F.collect_list(F.struct("qgid", "qpos", "gid", "pos", "route", "qroute"))).alias("seeds"))
+
+    def run(batches):
+        a, b = held.value
+        names = ("aid", "bid", "apos", "bpos", "alen", "blen", "ppos")
+        for batch in batches:
+            for seeds in batch["seeds"]:
+                todo = [(s["qgid"], s["qpos"], s["gid"], s["pos"], list(s["route"]), list(s["qroute"])) for s in seeds]
+                found = align_read(a, b, todo, p)
+                yield pd.DataFrame([(0, i, r.score, r.path, [dict(zip(names, s)) for s in r.sections]) for i, r in enumerate(found)], columns=["read_ord", "ordinal", "score", "path", "sections"])
+
+    return rows.select("seeds").mapInPandas(run, ALIGNMENT)
+
+
 def gapless(pairs: DataFrame, threshold: int) -> DataFrame:
     """Pairs ``(id, a, b)`` whose first window matches in more than ``threshold`` places."""
 
