@@ -58,6 +58,17 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+ROWS = 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS`` rows at most, so few Python strings live at a time; unused Arrow memory goes back at the end."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list[str]], dict[str, pa.Array]]],
@@ -71,7 +82,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
-        for batch in batches:
+        for batch in slices(batches):
             cols = kernel(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **cols})
 
@@ -84,7 +95,7 @@ def filter_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(kernel(batch.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -96,7 +107,7 @@ def rewrite_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
-        for batch in batches:
+        for batch in slices(batches):
             new = pa.array(kernel(batch.column(at).to_pylist()), batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), new)
 

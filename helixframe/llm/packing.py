@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import documents, slices
 from .tokens import encoder
 
 WINDOW = 4096
@@ -161,8 +161,6 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, ids:
     ``path`` is a tokenizer file that drops white space. ``sequence_id`` is the
     task's partition and a counter within it.
     """
-    tail = np.array([end], "<u4").tobytes()
-
     def run(batches):
         enc, packer = encoder(path, False), Packer(window)
         base = TaskContext.get().partitionId() << 32
@@ -184,14 +182,12 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, ids:
                 out["ids"] = pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[7]], pa.list_(pa.int32()))
             return pa.RecordBatch.from_pydict(out)
 
-        for b in batches:
-            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo in range(0, len(texts), 512):
-                done = []
-                for doc_id, packed in zip(names[lo : lo + 512], enc.encode(texts[lo : lo + 512])):
-                    packed += tail
-                    done += packer.add((doc_id, len(packed) // 4), packed)
-                yield rows(done)
+        for b in slices(batches):
+            done = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                packed = np.append(np.frombuffer(enc.one(text), enc.kind).astype("<u4"), np.uint32(end)).astype("<u4").tobytes()
+                done += packer.add((doc_id, len(packed) // 4), packed)
+            yield rows(done)
         yield rows(packer.settle())
 
     return documents(docs).mapInArrow(run, SCHEMA + (", ids array<int>" if ids else ""))

@@ -4,8 +4,8 @@ Ids are replaced by their rank among all ids of the corpus (the most frequent is
 0), so most take one byte. A file has blocks of whole documents; a block has a
 header (documents, ids, bytes of data), the doc_ids, the lengths, then two-bit
 byte counts, four to a control byte, then the data bytes. Decoding is a numpy
-table lookup: each control byte gives the bytes of its group and a row of a
-256 x 16 table that gathers them to four integers.
+table lookup: each control byte gives the sizes of its four integers, whose sums
+place their bytes.
 
 The corpus is tokenised once into a table in the shared folder, counted, dealt by
 ranges of doc_id, and written one file a task, in ascending order of doc_id from
@@ -30,49 +30,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, shared_dir
+from .common import documents, materialise, shared_dir, slices
 from .tokens import encoder
 
 MAGIC = b"HXTOK1\0\0"
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 17
 NO_ID = -(1 << 63)  # stands for a null doc_id in a file
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Bytes in the group of each control byte, and where each byte of its four integers comes from (16: a zero)."""
-    sizes = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1
-    starts = np.cumsum(sizes, axis=1) - sizes
-    k = np.arange(4)
-    gather = np.where(k < sizes[:, :, None], starts[:, :, None] + k, 16)
-    return sizes.sum(1), gather.reshape(256, 16)
-
-
-GROUP, GATHER = _tables()
+#: Bytes of each of the four integers that a control byte stands for.
+SIZES = ((np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3) + 1).astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit integers."""
-    v = np.zeros(-(-len(values) // 4) * 4, "<u4")
+    width = 1 + int(values.max(initial=0) > 0xFF) + 2 * int(values.max(initial=0) > 0xFFFF)
+    v = np.zeros(-(-len(values) // 4) * 4, f"<u{width if width < 3 else 4}")
     v[: len(values)] = values
-    more = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    control = (more.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(1, dtype=np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
+    more = np.zeros(len(v), np.uint8)
+    for limit in (0xFF, 0xFFFF, 0xFFFFFF)[: v.itemsize - 1]:
+        more += v > limit
+    four = more.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    used = np.arange(v.itemsize, dtype=np.uint8) <= more[:, None]
+    data = v.view(np.uint8).reshape(-1, v.itemsize)[used]
     return control.tobytes(), data.tobytes()
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     """``n`` integers from their control and data bytes."""
-    c = np.frombuffer(control, np.uint8)
-    sizes = GROUP[c]
-    starts = np.cumsum(sizes) - sizes
-    d = np.zeros(len(data) + 17, np.uint8)
+    sizes = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    at = np.cumsum(sizes, dtype=np.int64)
+    at -= sizes
+    d = np.zeros(len(data) + 4, np.uint8)
     d[: len(data)] = np.frombuffer(data, np.uint8)
-    out = np.empty((len(c), 16), np.uint8)
-    for lo in range(0, len(c), 1 << 16):
-        part = GATHER[c[lo : lo + (1 << 16)]]
-        where = np.where(part < 16, part + starts[lo : lo + (1 << 16), None], len(data))
-        out[lo : lo + (1 << 16)] = d[where]
-    return out.reshape(-1).view("<u4")[:n]
+    out = d[at].astype(np.uint32)
+    for k in range(1, int(sizes.max(initial=1))):
+        own = np.flatnonzero(sizes > k)
+        out[own] |= d[at[own] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def write_block(out, names: list[int | None], docs: list[np.ndarray], rank: np.ndarray) -> int:
@@ -101,7 +97,7 @@ def read_blocks(path: str):
 
 
 def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """``doc_id, n_tokens, ids``: ids of each text and the end id, as little-endian integers.
+    """``doc_id, n_tokens, ids``: ids of each text and the end id, as little-endian integers of two bytes where the vocabulary fits, else four.
 
     One more row a task has ``counts`` alone: how often each id came.
     """
@@ -109,28 +105,21 @@ def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
 
     def run(batches):
         enc = encoder(path, True)
-        tail = np.array([end], "<u4").tobytes()
+        width = int(enc.kind[-1])
+        tail = np.array([end], enc.kind).tobytes()
         total = np.zeros(1 << 16, np.int64)
-        for b in batches:
-            own, texts = b.column(0), b.column(1).to_pylist()
-            for lo in range(0, len(texts), 2048):
-                ids = [x + tail for x in enc.encode(texts[lo : lo + 2048])]
-                counts = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
-                counts[: len(total)] += total
-                total = counts
-                n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([own.slice(lo, len(ids)), n, pa.array([_narrow(x) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        for b in slices(batches):
+            ids = [enc.one(t) + tail for t in b.column(1).to_pylist()]
+            counts = np.bincount(np.frombuffer(b"".join(ids), enc.kind), minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
+            n = pa.array([len(x) // width for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
-def _narrow(packed: bytes) -> bytes:
-    """Two bytes an id where that is enough, else four; the length tells which."""
-    v = np.frombuffer(packed, "<u4")
-    return v.astype("<u2").tobytes() if len(v) and v.max() < 1 << 16 else packed
-
-
 def _wide(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, "<u2" if len(packed) == 2 * n else "<u4")
 

@@ -18,14 +18,17 @@ from functools import lru_cache
 import numpy as np
 
 CACHE = 500_000  # pieces in each of two generations
+FEW = 150_000  # of vocabularies without blanks and cases, whose pieces are fewer
 _BIG = sys.byteorder == "big"
 LONG = 256  # characters of a piece that is not kept in the table
 
 # Characters that Python's classes and the library's tell apart, or that normalisation may change.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]")
-# Fixed: the split patterns of the two kinds of vocabulary.
-_WITH_BLANKS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_NO_BLANKS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+# Fixed: the split patterns of the two kinds of vocabulary, for the characters that are left; words first, which no
+# other part can begin, and letters as ranges, which match faster than classes.
+_L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_WITH_BLANKS = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+")
+_NO_BLANKS = re.compile(rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9{_L}]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -65,7 +68,7 @@ class Recent(dict):
 
 
 class Encoder:
-    """Ids of texts as bytes, little-endian unsigned 32-bit integers.
+    """Ids of texts as packed little-endian unsigned integers of type ``kind``: two bytes where the vocabulary fits.
 
     ``blanks`` tells whether the vocabulary encodes white space (a piece being a
     word with the one blank before it) or drops it and puts letters into lower
@@ -79,16 +82,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.letters = _byte_letters()
         self.blanks = blanks
-        self.known = Recent(CACHE, self._merged)
+        self.known = Recent(CACHE if blanks else FEW, self._merged)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _merged(self, piece: str) -> bytes:
         """Ids of one piece, by the library's model."""
-        out = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+        out = array("H" if self.kind == "<u2" else "I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
         if _BIG:
             out.byteswap()
         return out.tobytes()
