@@ -58,18 +58,18 @@ def days(c: str):
 
 _DNA = "upper(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac'))"
 _SEEDS = f"""
-qs AS (SELECT item_id, {_DNA} AS s FROM benchmark),
-ds AS (SELECT doc_id, {_DNA} AS s FROM documents),
+qs AS MATERIALIZED (SELECT item_id, {_DNA} AS s FROM benchmark),
+ds AS MATERIALIZED (SELECT doc_id, {_DNA} AS s FROM documents),
 rs AS (SELECT doc_id, 0 AS dir, s FROM ds UNION ALL SELECT doc_id, 1, reverse(translate(s, 'ACGT', 'TGCA')) FROM ds),
-qk AS (SELECT item_id, i::INT AS qpos, substring(s, i + 1, {K}) AS kmer FROM qs, unnest(range(0, greatest(length(s) - {K} + 1, 0))) AS t(i)),
+qk AS MATERIALIZED (SELECT item_id, i::INT AS qpos, substring(s, i + 1, {K}) AS kmer FROM qs, unnest(range(0, greatest(length(s) - {K} + 1, 0))) AS t(i)),
 want AS (SELECT DISTINCT kmer FROM qk),
-rk AS (SELECT * FROM (SELECT doc_id, dir, i::INT AS rpos, substring(s, i + 1, {K}) AS kmer FROM rs, unnest(range(0, greatest(length(s) - {K} + 1, 0))) AS t(i)) SEMI JOIN want USING (kmer)),
+rk AS MATERIALIZED (SELECT * FROM (SELECT doc_id, dir, i::INT AS rpos, substring(s, i + 1, {K}) AS kmer FROM rs, unnest(range(0, greatest(length(s) - {K} + 1, 0))) AS t(i)) SEMI JOIN want USING (kmer)),
 hits AS (SELECT kmer, count(*) AS hits FROM rk GROUP BY kmer)"""
 _KEPT = f"""{_SEEDS},
 few AS (SELECT kmer FROM hits WHERE hits <= {REPEAT}),
-sd AS (SELECT item_id, qpos, doc_id, dir, rpos FROM qk SEMI JOIN few USING (kmer) JOIN rk USING (kmer)),
+sd AS MATERIALIZED (SELECT item_id, qpos, doc_id, dir, rpos FROM qk SEMI JOIN few USING (kmer) JOIN rk USING (kmer)),
 ev AS (SELECT item_id, qpos, lag(qpos) OVER (PARTITION BY item_id ORDER BY qpos) AS prev FROM qk SEMI JOIN few USING (kmer)),
-kept AS (
+kept AS MATERIALIZED (
   SELECT sd.* FROM sd JOIN ev USING (item_id, qpos)
   WHERE prev IS DISTINCT FROM qpos - 1 OR NOT EXISTS (SELECT 1 FROM sd o WHERE o.item_id = sd.item_id AND o.doc_id = sd.doc_id AND o.dir = sd.dir AND o.qpos = sd.qpos - 1 AND o.rpos = sd.rpos - 1))"""
 
@@ -122,23 +122,24 @@ def unmapped_reads(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id").join(found, "item_id", "left_anti")
 
 
-def _after(spark, sf_dir):
-    """Texts of both sides that follow each kept seed."""
+def _after(spark, sf_dir, width: int = 1 << 30):
+    """Texts of both sides that follow each kept seed, ``width`` letters at most."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), N.dna(F.col("text")).alias("s"))
     ref = seeds.strands(docs, "rid", "s").withColumnRenamed("seq", "rseq")
     own = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), N.dna(F.col("text")).alias("qseq"))
     rows = _kept(spark, sf_dir).join(own, "qid").join(ref, ["rid", "dir"])
-    return rows.select("qid", "qpos", "rid", "dir", "rpos", F.expr(f"substring(rseq, rpos + {K + 1})").alias("a"), F.expr(f"substring(qseq, qpos + {K + 1})").alias("b"))
+    return rows.select("qid", "qpos", "rid", "dir", "rpos", F.expr(f"substring(rseq, rpos + {K + 1}, {width})").alias("a"), F.expr(f"substring(qseq, qpos + {K + 1}, {width})").alias("b"))
 
 
 _HIT = " + ".join(f"CASE WHEN length(a) > {i} AND ({' OR '.join(f'substring(b, {j + 1}, 1) = substring(a, {i + 1}, 1)' for j in (i - 1, i, i + 1) if j >= 0)}) THEN 1 ELSE 0 END" for i in range(16))
 
 
 @query(f"""WITH {_KEPT},
-p AS (SELECT item_id, qpos, doc_id, dir, rpos, substring(rs.s, rpos + {K + 1}) AS a, substring(qs.s, qpos + {K + 1}) AS b FROM kept JOIN qs USING (item_id) JOIN rs USING (doc_id, dir))
+p AS MATERIALIZED (SELECT item_id, qpos, doc_id, dir, rpos, substring(rs.s, rpos + {K + 1}, 17) AS a, substring(qs.s, qpos + {K + 1}, 17) AS b FROM kept JOIN qs USING (item_id) JOIN rs USING (doc_id, dir))
 SELECT item_id, qpos, doc_id, dir, rpos, ({_HIT})::INT AS score FROM p WHERE {_HIT} > 10""")
 def gapless_filter(spark, sf_dir):
-    rows = _after(spark, sf_dir).withColumn("score", N.gapless_score(F.col("a"), F.col("b")))
+    # the window and one letter beyond it
+    rows = _after(spark, sf_dir, 17).withColumn("score", N.gapless_score(F.col("a"), F.col("b")))
     return rows.filter("score > 10").select(F.col("qid").alias("item_id"), "qpos", F.col("rid").alias("doc_id"), "dir", "rpos", "score")
 
 
