@@ -41,20 +41,32 @@ def intersect(intervals: DataFrame, queries: DataFrame, width: int = 64) -> Data
     return _join(intervals, queries, width, F.expr("lkey < r and rkey > l"), F.greatest("lkey", "l"))
 
 
-def nearest(keys: DataFrame, probes: DataFrame, group: list[str], left: bool = True) -> DataFrame:
+def nearest(keys: DataFrame, probes: DataFrame, group: list[str], left: bool = True, parts: int = 200) -> DataFrame:
     """``probes`` with ``found``: the equal or nearest lower (``left``) or higher key of the same group.
 
-    Keys and probes are merged in order and the last key seen is carried along,
-    so the work is a sort, whatever the distance between keys.
+    Keys and probes of a group are merged in order and the last key seen is
+    carried along. Quantiles of the key part every group, so a group that holds
+    much of the data is worked on by many tasks; what a part needs from those
+    before it is one key a group and part.
     """
     cols = probes.columns
     none = [F.lit(None).cast(t).alias(c) for c, t in probes.dtypes if c not in (*group, "key")]
-    both = probes.select(*cols, F.lit(1).alias("_probe")).unionByName(keys.select(*group, "key", *none, F.lit(0).alias("_probe")).distinct())
-    known = F.when(F.col("_probe") == 0, F.col("key"))
-    # equal keys come before their probes either way
-    order = [F.col("key"), F.col("_probe")] if left else [F.col("key").desc(), F.col("_probe")]
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("found", F.last(known, ignorenulls=True).over(w)).filter("_probe = 1").drop("_probe")
+    known = keys.select(*group, "key").distinct()
+    cuts = known.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []
+    sign = 1 if left else -1
+    part = sign * F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("key"))) if cuts else F.lit(0)
+    both = probes.select(*cols, F.lit(1).alias("_probe")).unionByName(known.select(*group, "key", *none, F.lit(0).alias("_probe"))).withColumn("_part", part)
+    seen = F.when(F.col("_probe") == 0, F.col("key"))
+    order = [F.col("key") if left else F.col("key").desc(), F.col("_probe")]  # equal keys come before their probes
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("found", F.last(seen, ignorenulls=True).over(inside)).filter("_probe = 1")
+    last = both.groupBy(*group, "_part").agg((F.max(seen) if left else F.min(seen)).alias("_last"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(carried, same).select(*cols, F.coalesce("found", "_carried").alias("found"))
 
 
 def exact(keys: DataFrame, probes: DataFrame, group: list[str]) -> DataFrame:

@@ -43,6 +43,18 @@ def test_nearest(spark):
     assert [r["id"] for r in I.exact(keys, probes, ["u"]).collect()] == [3]
 
 
+def test_nearest_of_a_large_group_against_brute_force(spark):
+    g = random.Random(6)
+    keys = [(g.choice("aaaab"), g.randrange(2000)) for _ in range(300)]
+    probes = [(g.choice("aaaabc"), g.randrange(-50, 2050), i) for i in range(400)]
+    dk, dp = spark.createDataFrame(keys, "u string, key long"), spark.createDataFrame(probes, "u string, key long, id int")
+    for left in (True, False):
+        got = {r["id"]: r["found"] for r in I.nearest(dk, dp, ["u"], left, parts=7).collect()}
+        for u, k, i in probes:
+            fit = [x for v, x in keys if v == u and (x <= k if left else x >= k)]
+            assert got[i] == ((max(fit) if left else min(fit)) if fit else None)
+
+
 def test_sorts_and_numbers(spark):
     g = random.Random(2)
     rows = [(i, g.randrange(1 << 40)) for i in range(500)]
