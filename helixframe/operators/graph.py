@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nucleotide import BASES, normal, revcomp, windows
 from ..functions.storage import checkpoint
+from .ordering import numbered
 
 
 @dataclass(frozen=True)
@@ -44,13 +45,15 @@ class Graph:
         return self
 
 
-def dictionary(rows: DataFrame, name: str, order: str) -> DataFrame:
+def dictionary(rows: DataFrame, name: str, order: str, *ties: str) -> DataFrame:
     """``name, id``: dense ids from 0 in order of first appearance.
 
-    Only one row for each distinct name is numbered in one place.
+    ``order`` is a numeric column; names that first appear together go by ``ties``,
+    then by name. Distinct names are numbered in parts, never in one task.
     """
-    first = rows.groupBy(name).agg(F.min(order).alias("_first"))
-    return first.select(name, (F.row_number().over(Window.orderBy("_first", name)) - 1).cast("int").alias("id"))
+    first = rows.groupBy(name).agg(F.min(F.struct(order, *ties)).alias("_first"))
+    first = first.select(name, F.col(f"_first.{order}").alias("_at"), *[F.col(f"_first.{t}").alias(f"_tie{i}") for i, t in enumerate(ties)])
+    return numbered(first, "_at", *[f"_tie{i}" for i in range(len(ties))], name).select(name, F.col("n").cast("int").alias("id"))
 
 
 def build(segments: DataFrame, links: DataFrame | None = None, order: str | None = None) -> Graph:
@@ -66,11 +69,11 @@ def build(segments: DataFrame, links: DataFrame | None = None, order: str | None
         segments = segments.withColumn("_ord", F.monotonically_increasing_id())
         links = links.withColumn("_ord", F.lit(1 << 62) + F.monotonically_increasing_id()) if links is not None else None
         order = "_ord"
-    seen = segments.select("name", F.struct(F.col(order).alias("o"), F.lit(0).alias("i")).alias("at"))
+    seen = segments.select("name", F.col(order).alias("o"), F.lit(0).alias("i"))
     if links is not None:
         for i, c in enumerate(("src", "dst")):
-            seen = seen.unionByName(links.select(F.col(c).alias("name"), F.struct(F.col(order).alias("o"), F.lit(i).alias("i")).alias("at")))
-    ids = dictionary(seen, "name", "at")
+            seen = seen.unionByName(links.select(F.col(c).alias("name"), F.col(order).alias("o"), F.lit(i).alias("i")))
+    ids = dictionary(seen, "name", "o", "i")
     last = segments.groupBy("name").agg(F.max_by("seq", order).alias("seq"))
     fw = ids.join(last, "name", "left").select("id", "name", normal(F.coalesce("seq", F.lit(""))).alias("seq"))
     both = fw.select("id", F.lit(0).alias("dir"), "name", "seq").unionByName(fw.select("id", F.lit(1).alias("dir"), "name", revcomp(F.col("seq")).alias("seq")))
