@@ -18,19 +18,20 @@ the language first in alphabetical order. Repeated rows count repeatedly.
 from __future__ import annotations
 
 import sys
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, documents, filter_texts, map_texts
+from .common import crc_fold, documents, filter_texts, map_texts, slices
 
 DIM = 1024
 LETTERS = 64  # class 0 is the blank between words
 SEED = 20_011
 FOLDS, HELD_OUT = 3, 1
-MIN_SCORE = 0.3
+MIN_SCORE = 0.05
 _CHARS = 400_000  # of a block of texts that is counted at once
 
 
@@ -91,6 +92,12 @@ class Letters:
         return out
 
 
+@lru_cache(1)
+def known_letters() -> Letters:
+    """One table for all tasks of a worker."""
+    return Letters()
+
+
 def prototypes(docs: DataFrame, lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Names and unit prototypes of the languages of ``docs``, which should be training rows.
 
@@ -100,8 +107,8 @@ def prototypes(docs: DataFrame, lang: str = "lang") -> tuple[list[str], np.ndarr
     rows = docs.select(F.col(lang).alias("lang"), "text").filter("lang is not null and text is not null")
 
     def run(batches):
-        letters, sums = Letters(), {}
-        for b in batches:
+        letters, sums = known_letters(), {}
+        for b in slices(batches):
             langs = b.column(0).to_pylist()
             for at, vectors in letters.bundles(b.column(1).to_pylist()):
                 for name in {langs[i] for i in at}:
@@ -120,7 +127,7 @@ def prototypes(docs: DataFrame, lang: str = "lang") -> tuple[list[str], np.ndarr
 
 def _predictor(names: list[str], protos: np.ndarray):
     def make():
-        letters, weights = Letters(), protos.T.astype(np.float32)
+        letters, weights = known_letters(), protos.T.astype(np.float32)
 
         def predict(texts):
             lang, score = ["und"] * len(texts), [0.0] * len(texts)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, slices
 from .components import components
 from .neardup import runs
 
@@ -132,7 +132,7 @@ def profile(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         shingler, counts = Shingler(), np.zeros(SKETCH, np.int64)
-        for b in batches:
+        for b in slices(batches):
             n, own, cells = [], [], []
             for t in b.column(1).to_pylist():
                 s = shingler.set(t)
@@ -176,7 +176,7 @@ def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
     def run(batches):
         level, shingler = sent.value, Shingler()
         seen: set[bytes] = set()
-        for b in batches:
+        for b in slices(batches):
             names = b.column(0).to_pylist()
             cols = [[], [], [], [], []]
             held = 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_texts, materialise, rewrite_texts
+from .common import documents, map_texts, materialise, rewrite_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 5
@@ -184,7 +184,7 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, alpha: float = ALPHA,
                     out.append(m[0])
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 for w in set(t.lower().split()):
                     hit = known.get(w)
@@ -260,7 +260,7 @@ def sanitise(docs: DataFrame, window: int = WINDOW, alpha: float = ALPHA, min_su
     at = docs.columns.index("text") + 1
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             new = [t and clean(t, x) for t, x in zip(b.column(at).to_pylist(), b.column(0).to_pylist())]
             arrays = b.columns[1:]
             arrays[at - 1] = pa.array(new, b.column(at).type)
