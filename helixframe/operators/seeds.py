@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nucleotide import revcomp
+from ..functions.storage import checkpoint
 from .graph import linear_kmers
 
 
@@ -30,6 +31,11 @@ def query_kmers(rows: DataFrame, key: str, seq: str, k: int) -> DataFrame:
     return linear_kmers(rows, key, seq, k).select(F.col(key).alias("qid"), F.col("pos").alias("qpos"), "kmer")
 
 
+def matched(ref: DataFrame, query: DataFrame) -> DataFrame:
+    """Reference k-mers that some query has, written down, so that counting and joining them enumerates the reference once."""
+    return checkpoint(ref.join(query.select("kmer").distinct(), "kmer", "left_semi"))
+
+
 def counted_hits(ref: DataFrame, query: DataFrame) -> DataFrame:
     """``kmer, hits``: reference positions of each k-mer that some query has; the reference is reduced first."""
     wanted = query.select("kmer").distinct()
@@ -43,6 +49,7 @@ def seed_join(ref: DataFrame, query: DataFrame, repeat: int | None = None) -> Da
     before the join, so no key of the join has more rows on that side.
     """
     if repeat is not None:
+        ref = matched(ref, query)
         common = counted_hits(ref, query).filter(F.col("hits") <= repeat).select("kmer")
         query = query.join(common, "kmer")
     return query.join(ref, "kmer").select("qid", "qpos", "rid", "dir", "rpos")

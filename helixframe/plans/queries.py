@@ -83,7 +83,8 @@ def _query(spark, sf_dir):
 
 
 def _kept(spark, sf_dir):
-    ref, own = _ref(spark, sf_dir), _query(spark, sf_dir)
+    own = _query(spark, sf_dir)
+    ref = seeds.matched(_ref(spark, sf_dir), own)
     few = seeds.counted_hits(ref, own).filter(F.col("hits") <= REPEAT).select("kmer")
     known = own.join(few, "kmer")
     return seeds.drop_adjacent(seeds.seed_join(ref, known), known.select("qid", "qpos"))
@@ -144,7 +145,7 @@ def gapless_filter(spark, sf_dir):
 
 
 def _extended(spark, sf_dir, p: Params):
-    rows = _after(spark, sf_dir)
+    rows = _after(spark, sf_dir).filter(N.gapless_score(F.substring("a", 1, 17), F.substring("b", 1, 17)) > p.resolved().gapless)
     reach = F.length("b") + p.resolved().xdrop // p.ge + 1  # further text can not be reached within the X-drop
     pairs = rows.select(F.struct("qid", "qpos", "rid", "dir", "rpos").alias("id"), F.substring(F.col("a"), F.lit(1), reach).alias("a"), "b")
     out = align.extend_pairs(pairs, p)
@@ -377,7 +378,7 @@ def distinct_positions(spark, sf_dir):
 
 @query(f"WITH {_KEPT} SELECT item_id, qpos, doc_id, dir, rpos FROM sd EXCEPT ALL SELECT item_id, qpos, doc_id, dir, rpos FROM kept")
 def diff_seeds(spark, sf_dir):
-    every = seeds.seed_join(_ref(spark, sf_dir), _query(spark, sf_dir), REPEAT)
+    every = seeds.seed_join(_ref(spark, sf_dir), _query(spark, sf_dir), REPEAT).select("qid", "qpos", "rid", "dir", "rpos")
     return every.exceptAll(_kept(spark, sf_dir).select(every.columns)).select(F.col("qid").alias("item_id"), "qpos", F.col("rid").alias("doc_id"), "dir", "rpos")
 
 
