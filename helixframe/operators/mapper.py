@@ -245,6 +245,8 @@ def align(ref: Graph, reads: DataFrame, params: Params, filters: Callable[[DataF
         seeds = filters(seeds)
     rows = seeds.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("qpos", "rid", "rpos", "route"))).alias("seeds"))
     rows = rows.join(reads.select(F.col("read_ord").alias("qid"), "seq"), "qid").select("qid", "seq", "seeds")
+    # small rows, much work: spread by a fixed count, which the engine does not merge again
+    rows = rows.repartition(4 * ref.spark.sparkContext.defaultParallelism)
 
     def run(batches):
         for b in batches:
