@@ -9,6 +9,13 @@ united class the direct links of every vector are then counted by comparing the
 class with itself, tile by tile, so a link counts whichever pass met it; only
 counts leave a tile.
 
+The number of passes comes from the table. A sample of ``PROBES`` vectors gets a
+partner each at the threshold's cosine, in a random direction; how many vectors of
+the table lie between the two keys of a pair is counted over the whole table, pass
+by pass, until the expected share of pairs that no window has joined is ``MISS`` at
+most. Larger and denser tables so get more passes (``PASSES`` at least), in groups
+of ``PASSES``, whose sorted copies are removed before the next group's are made.
+
 Equal vectors are one class from the start, represented once, so a large group of
 copies costs no more than one vector.
 
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remove, shared_dir
 from .components import components
 
 THRESHOLD = 0.9
@@ -36,6 +43,7 @@ BITS = 60
 BLOCK, HALO = 1536, 512
 TILE = 512
 SEED = 90_210
+PROBES, TRIAL, MISS = 512, 16, 0.01
 
 
 def units(column: pa.Array) -> np.ndarray:
@@ -46,16 +54,39 @@ def units(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def sort_keys(x: np.ndarray, passes: int) -> np.ndarray:
-    """Key of each row in each pass: the signs of its projections, first sign highest."""
+def sort_keys(x: np.ndarray, passes: int, first: int = 0) -> np.ndarray:
+    """Key of each row in each of ``passes`` passes from ``first`` on: the signs of its projections, first sign highest."""
     g = np.random.default_rng([SEED, x.shape[1]])
     out = np.zeros((len(x), passes), np.int64)
     weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-    for p in range(passes):
-        out[:, p] = (x @ g.standard_normal((x.shape[1], BITS)) > 0) @ weight
+    for p in range(first + passes):
+        signs = g.standard_normal((x.shape[1], BITS))
+        if p >= first:
+            out[:, p - first] = (x @ signs > 0) @ weight
     return out
 
 
+def partners(x: np.ndarray, threshold: float) -> np.ndarray:
+    """A unit vector at cosine ``threshold`` to each unit row, in a random direction."""
+    u = np.random.default_rng([SEED, 1, x.shape[1]]).standard_normal(x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    return threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * u
+
+
+def key_bins(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Place of each key among sorted bounds: ``2 i`` before bound ``i``, ``2 i + 1`` equal to it."""
+    return np.searchsorted(bounds, keys, "left") + np.searchsorted(bounds, keys, "right")
+
+
+def meeting(low: np.ndarray, high: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Chance that a window holds both ends of each pair of keys, by the table's counts of :func:`key_bins`."""
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    i, j = np.searchsorted(bounds, low), np.searchsorted(bounds, high)
+    apart = sums[2 * j + 2] - sums[2 * i + 1]  # ties count as between, so never too hopeful
+    return np.clip((BLOCK + HALO - apart) / BLOCK, 0.0, 1.0)
+
+
 def forest(x: np.ndarray, y: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links (row of x, row of y) that span what the rows of ``x`` link to in ``y``; ``y`` begins with ``x``."""
     parent = list(range(len(y)))
@@ -118,15 +149,71 @@ def _chunk(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def needed_passes(classes: DataFrame, threshold: float) -> int:
+    """Passes after which the probes' expected share of unmet pairs is ``MISS`` at most; ``PASSES`` at least.
+
+    The driver receives ``PROBES`` vectors, and a count for each place among their keys.
+    """
+    probes: dict[int, list] = {}
+    for r in classes.select("vec", "vec_key").orderBy("vec_key").limit(PROBES).collect():
+        probes.setdefault(len(r["vec"]), []).append(r["vec"])
+    sides = {}
+    for d, rows in probes.items():
+        x = units(pa.array(rows, pa.list_(pa.float64())))
+        sides[d] = x, partners(x, threshold)
+    vectors = classes.select(F.size("vec").alias("dim"), "vec")
+    unmet = {d: np.ones(len(x)) for d, (x, _) in sides.items()}
+    done = 0
+    while sides:
+        ends = {d: (sort_keys(x, TRIAL, done), sort_keys(y, TRIAL, done)) for d, (x, y) in sides.items()}
+        bounds = {d: [np.unique(np.concatenate([a[:, p], b[:, p]])) for p in range(TRIAL)] for d, (a, b) in ends.items()}
+
+        def places(batches, bounds=bounds, done=done):
+            for batch in batches:
+                sizes = batch.column("dim").to_numpy()
+                for d in set(np.unique(sizes).tolist()) & bounds.keys():
+                    k = sort_keys(units(batch.filter(pa.array(sizes == d)).column("vec")), TRIAL, done)
+                    for p in range(TRIAL):
+                        at, n = np.unique(key_bins(k[:, p], bounds[d][p]), return_counts=True)
+                        yield pa.RecordBatch.from_pydict({"dim": pa.array(np.full(len(at), d, np.int32)), "pass": pa.array(np.full(len(at), p, np.int32)), "bin": pa.array(at, pa.int32()), "n": pa.array(n, pa.int64())})
+
+        counts = {d: [np.zeros(2 * len(b) + 1, np.int64) for b in own] for d, own in bounds.items()}
+        found = vectors.mapInArrow(places, "dim int, pass int, bin int, n long")
+        # bounded by the probes: TRIAL * (4 * PROBES + 1) rows at most for one dimension
+        for r in found.groupBy("dim", "pass", "bin").agg(F.sum("n").alias("n")).collect():
+            counts[r["dim"]][r["pass"]][r["bin"]] = r["n"]
+        for p in range(TRIAL):
+            for d, (a, b) in ends.items():
+                low, high = np.minimum(a[:, p], b[:, p]), np.maximum(a[:, p], b[:, p])
+                unmet[d] *= 1 - meeting(low, high, bounds[d][p], counts[d][p])
+            done += 1
+            if done >= PASSES and np.concatenate(list(unmet.values())).mean() <= MISS:
+                return done
+    return PASSES
+
+
 def candidate_links(classes: DataFrame, threshold: float, passes: int) -> DataFrame:
-    """Links ``a, b`` between representatives: forests of all blocks of all passes."""
+    """Links ``a, b`` between representatives: forests of all blocks of all passes, ``PASSES`` passes at a time."""
+    if passes <= PASSES:
+        return _pass_links(classes, threshold, 0, passes, None)
+    out = None
+    for first in range(0, passes, PASSES):
+        path = shared_dir(classes.sparkSession)
+        links = materialise(_pass_links(classes, threshold, first, min(PASSES, passes - first), path))
+        remove(classes.sparkSession, path)
+        out = links if out is None else out.unionByName(links)
+    return out
+
+
+def _pass_links(classes: DataFrame, threshold: float, first_pass: int, passes: int, path: str | None) -> DataFrame:
+    """Links of the blocks of some passes; their sorted copies are written to ``path``."""
 
     def keys(batches):
         for b in batches:
             sizes = np.array(b.column("dim").to_pylist(), np.int64)
             for d in np.unique(sizes).tolist():
                 own = b.filter(pa.array(sizes == d))
-                k = sort_keys(units(own.column("vec")), passes)
+                k = sort_keys(units(own.column("vec")), passes, first_pass)
                 for p in range(passes):
                     yield pa.RecordBatch.from_pydict({"dim": own.column("dim"), "pass": pa.array(np.full(len(k), p, np.int32)), "key": pa.array(k[:, p]), "rep": own.column("rep"), "vec": own.column("vec")})
 
@@ -134,7 +221,7 @@ def candidate_links(classes: DataFrame, threshold: float, passes: int) -> DataFr
     dealt = classes.select(F.size("vec").alias("dim"), "rep", "vec").mapInArrow(keys, f"dim int, pass int, key long, rep long, vec {vec}")
     order = ["dim", "pass", "key", "rep"]
     dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    dealt = materialise(dealt)
+    dealt = materialise(dealt, path)
     part = F.shiftright("at", 33)
     # one row a partition
     counts = {r["p"]: r["n"] for r in dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
@@ -197,11 +284,14 @@ def _direct(members: DataFrame, threshold: float) -> DataFrame:
     return tile.groupBy("rep", "vec_key").agg(F.sum("links").alias("links"))
 
 
-def deduplicate(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (``vec_id, embedding``)."""
+def deduplicate(vectors: DataFrame, threshold: float = THRESHOLD, passes: int | None = None) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (``vec_id, embedding``).
+
+    ``passes`` None takes what :func:`needed_passes` finds for the table.
+    """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
     classes = materialise(_classes(rows).withColumn("vec_key", F.xxhash64("vec")))
-    found = components(candidate_links(classes, threshold, passes))
+    found = components(candidate_links(classes, threshold, passes or needed_passes(classes, threshold)))
     found = found.select(F.col("node").alias("rep"), "component")
     members = materialise(classes.join(found, "rep").select("component", "rep", "vec_key", "n", "vec"))
     direct = _direct(members, threshold).join(found, "rep").select("rep", "vec_key", "links", "component")

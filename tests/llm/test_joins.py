@@ -160,6 +160,19 @@ def test_neardup_recall(spark, small, monkeypatch):
         assert {i: r["component_id"] for i, r in got.items()} == want
 
 
+def test_neardup_recall_with_many_rows_a_block(spark, monkeypatch):
+    """Windows far smaller than the table: the passes grow until pairs at the threshold have met."""
+    monkeypatch.setattr(neardup, "BLOCK", 12)
+    monkeypatch.setattr(neardup, "HALO", 4)
+    g = np.random.default_rng(4)
+    x = g.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[3000:3400] = neardup.partners(x[:400], 0.9005)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    kept = {r["vec_id"]: r["component_id"] for r in neardup.deduplicate(df).collect()}
+    assert np.mean([kept[3000 + i] == i for i in range(400)]) > 0.96
+
+
 def test_neardup_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.01]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (1, [2.0, 0.0]), (10, [-1.0, 0.0]), (11, [3e38, 1e38])]
