@@ -6,8 +6,9 @@ the whole corpus, how much a term near an entity reveals about it. A term ``t``
 is disclosing for an entity ``e`` when ``PMI(t;e) >= alpha * IC(e)``, where
 ``IC(e) = log(N / n(e))`` and ``PMI = log(N n(t,e) / (n(t) n(e)))``: given
 ``t``, a reader recovers at least the share ``alpha`` of the entity's
-information. Counts are of distinct contexts, so that a text copied a thousand
-times counts once, and ``n(t,e)`` must reach ``min_support``.
+information. All four counts are of distinct texts, so that a text copied a
+thousand times counts once, as does a term that a text repeats; the distinct
+contexts of ``t`` near ``e`` must reach ``min_support``.
 
 Disclosing terms get spans of kind ``term`` within ``window`` words of the
 entity they reveal; :func:`sanitise` generalises base spans to their kind
@@ -143,64 +144,93 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return map_texts(documents(docs), make, _SCAN)
 
 
+def _filter(hashes: DataFrame) -> np.ndarray | None:
+    """The hashes (one column) as bits in a table of fixed size, None where there are none."""
+    h = F.col(hashes.columns[0])
+    bit = F.pmod(h, F.lit(FILTER_BITS))
+    words = hashes.select(h.alias("h"), F.shiftright(bit, 5).alias("w"))
+    words = words.select("w", F.expr("shiftleft(1L, cast(pmod(h, 32) as int))").alias("b"))
+    # at most 2^15 rows by construction
+    mask = {r["w"]: r["b"] for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()}
+    if not mask:
+        return None
+    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    for w, b in mask.items():
+        table[w] = b
+    return table
+
+
 def disclosing_terms(scanned: DataFrame, docs: DataFrame, alpha: float = ALPHA, min_support: int = MIN_SUPPORT) -> DataFrame:
     """``term, entity, share``: terms whose PMI with an entity reaches ``alpha`` of the entity's information.
 
     ``scanned`` is :func:`scan` of ``docs``, written down. All documents count.
     The terms with enough support set bits in a filter of fixed size (1 Mbit);
     a second reading of the corpus counts only words whose bit is set, whatever
-    their number, so it ships a row per word and flush and no word list.
+    their number, so it ships a row per word and flush and no word list. A second
+    filter marks texts that have copies: they ship their marked words instead,
+    and one of each text is counted.
     """
     docs = documents(docs)
-    seen = scanned.select(F.explode("near").alias("s")).select("s.term", "s.entity", "s.context").distinct()
-    joint = seen.groupBy("term", "entity").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= min_support)
-    joint = materialise(joint)
-    bit = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
-    words = joint.select(F.shiftright(bit, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(term), 32) as int))").alias("b"))
-    # at most 2^15 rows by construction
-    mask = {r["w"]: r["b"] for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()}
-    if not mask:
+    seen = scanned.select("text_key", F.explode("near").alias("s")).select("s.term", "s.entity", "s.context", "text_key").distinct()
+    joint = seen.groupBy("term", "entity").agg(F.count_distinct("context").alias("support"), F.count_distinct("text_key").alias("n_te"))
+    joint = materialise(joint.filter(F.col("support") >= min_support).drop("support"))
+    terms = _filter(joint.select(F.xxhash64("term").alias("h")))
+    if terms is None:
         return joint.select("term", "entity", F.lit(0.0).alias("share"))
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    for w, b in mask.items():
-        table[w] = b
-    sent = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    copies = scanned.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select("text_key")
+    sent = docs.sparkSession.sparkContext.broadcast((terms.tobytes(), None if (table := _filter(copies)) is None else table.tobytes()))
 
     def count(batches):
-        bits = np.frombuffer(sent.value, np.uint32)
+        bits = np.frombuffer(sent.value[0], np.uint32)
+        copied = np.frombuffer(sent.value[1] or bytes(FILTER_BITS // 8), np.uint32)
         known: dict[str, list[str]] = {}
         counts: dict[str, int] = {}
+        held: dict[int, list[str]] = {}
 
         def flush():
-            out = pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            n = len(counts) + len(held)
+            out = pa.RecordBatch.from_pydict({
+                "terms": pa.array([[x] for x in counts] + list(held.values()), pa.list_(pa.string())),
+                "n": pa.array([*counts.values(), *[1] * len(held)], pa.int64()),
+                "text_key": pa.array([None] * (n - len(held)) + list(held), pa.int64()),
+            })
             counts.clear()
+            held.clear()
             return out
 
+        def is_set(table, h):
+            h %= FILTER_BITS
+            return int(table[h >> 5]) >> (h & 31) & 1
+
         def marked(word):
-            out = []
-            for m in _WORD.finditer(word):
-                h = xxhash.xxh64_intdigest(m[0].encode(), seed=42) % FILTER_BITS
-                if int(bits[h >> 5]) >> (h & 31) & 1:
-                    out.append(m[0])
-            return out
+            return [m[0] for m in _WORD.finditer(word) if is_set(bits, xxhash.xxh64_intdigest(m[0].encode(), seed=42))]
 
         for batch in slices(batches):
             for t in batch.column(0).to_pylist():
+                own: set[str] = set()
                 for w in set(t.lower().split()):
                     hit = known.get(w)
                     if hit is None:
                         if len(known) > 500_000:
                             known.clear()
                         hit = known[w] = marked(w)
-                    for x in hit:
-                        counts[x] = counts.get(x, 0) + 1
-            if len(counts) > 200_000:
+                    own.update(hit)
+                key = xxhash.xxh64_intdigest(t.encode(), seed=42) - (1 << 63)
+                if is_set(copied, key):
+                    held[key] = list(own)
+                    continue
+                for x in own:
+                    counts[x] = counts.get(x, 0) + 1
+            if len(counts) > 200_000 or len(held) > 10_000:
                 yield flush()
         yield flush()
 
-    n_t = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    n_e = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = float(max(scanned.count(), 2))
+    read = docs.select("text").mapInArrow(count, "terms array<string>, n long, text_key long")
+    once = read.filter("text_key is not null").groupBy("text_key").agg(F.first("terms").alias("terms")).select("terms", F.lit(1).cast("long").alias("n"))
+    n_t = read.filter("text_key is null").select("terms", "n").unionByName(once)
+    n_t = n_t.select(F.explode("terms").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_t"))
+    n_e = seen.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    total = float(max(scanned.select("text_key").distinct().count(), 2))
     ic = F.log(F.lit(total) / F.col("n_e"))
     pmi = F.log(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     out = joint.join(n_e, "entity").join(n_t, "term", "left")

@@ -129,6 +129,14 @@ def test_disclosing_terms_are_found_and_removed(spark):
     assert out[214][0] == "Zebulon alone in a text without the address" and out[215][0] is None
 
 
+def test_copies_and_repeats_of_a_term_count_once(spark):
+    told = [f"zelda, (zelda {w} write Zelda {w} at z@mail.org" for w in ("today", "soon", "later")]
+    rows = list(enumerate([f"river stone cloud {'abcdefghij'[i % 10]}{i}" for i in range(200)] + told + told[:1] * 300))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    share = {r["term"]: r["share"] for r in pii.disclosing_terms(pii.scan(df).cache(), df).collect()}
+    assert share == {"zelda": pytest.approx(1.0), "write": pytest.approx(1.0)}
+
+
 def test_empty_tables(empty):
     assert secrets.digests(empty).count() == 0 and pii.digests(empty).count() == 0
     assert pii.sanitise(empty).schema == empty.schema and pii.sanitise(empty).count() == 0
