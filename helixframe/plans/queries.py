@@ -146,8 +146,7 @@ def gapless_filter(spark, sf_dir):
 
 def _extended(spark, sf_dir, p: Params):
     rows = _after(spark, sf_dir).filter(N.gapless_score(F.substring("a", 1, 17), F.substring("b", 1, 17)) > p.resolved().gapless)
-    reach = F.length("b") + p.resolved().xdrop // p.ge + 1  # further text can not be reached within the X-drop
-    pairs = rows.select(F.struct("qid", "qpos", "rid", "dir", "rpos").alias("id"), F.substring(F.col("a"), F.lit(1), reach).alias("a"), "b")
+    pairs = rows.select(F.struct("qid", "qpos", "rid", "dir", "rpos").alias("id"), F.substring(F.col("a"), F.lit(1), align.reach(F.length("b"), p.resolved())).alias("a"), "b")
     out = align.extend_pairs(pairs, p)
     return out.select(F.col("id.qid").alias("item_id"), "id.qpos", F.col("id.rid").alias("doc_id"), "id.dir", "id.rpos", "score", "alen", "blen", N.cigar(F.col("path")).alias("cigar"))
 
