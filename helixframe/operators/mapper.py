@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import Params
-from .align import extend, gapless_count, reverse_path
+from .align import extend, gapless_count, reach, reverse_path
 from .graph import Graph, graph_kmers
 from .seeds import counted_hits, drop_adjacent, query_kmers
 
@@ -40,7 +40,15 @@ class Sequences:
 
         Best-first in length; more than ``MOST_PATHS`` at once raise an error rather than go missing.
         """
-        done, todo = [], [([], "", gid, pos)]
+        return self._walk([], "", gid, pos, reach)
+
+    def further(self, parts: list[tuple[int, int, int]], text: str, reach: int) -> list[tuple[list[tuple[int, int, int]], str]]:
+        """The paths of ``reach`` letters (or to their end) that go on from one of :meth:`paths`."""
+        g, at, n = parts[-1]
+        return self._walk(parts[:-1], text[: len(text) - n], g, at, reach)
+
+    def _walk(self, parts, text, gid, pos, reach):
+        done, todo = [], [(parts, text, gid, pos)]
         while todo:
             parts, text, g, at = todo.pop(0)
             own = self.seq[g][at : at + reach - len(text)]
@@ -110,12 +118,29 @@ def _trim(parts: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int
 
 
 def _best(ref: Sequences, query: Sequences, rg: int, rp: int, qg: int, qp: int, p: Params):
-    """Best extension over all paths from a place on both sides."""
+    """Best extension over all paths from a place on both sides.
+
+    Reference paths are followed on, twice as far each time, while the X-drop leaves cells open where they end.
+    """
     found = None
-    slack = p.xdrop // max(p.ge, 1) + 1
+    slack = max(p.xdrop, 0) // max(p.ge, 1) + 1
     for bparts, btext in query.paths(qg, qp, 1 << 30):
-        for aparts, atext in ref.paths(rg, rp, len(btext) + slack):
-            e = extend(atext, btext[: len(atext) + slack], p)
+        most = reach(len(btext), p)
+        if p.ge == 0 or p.xdrop < 0:  # a cycle could be followed for ever; between two letters of b one round is enough
+            most = min(most, (len(btext) + 1) * (sum(map(len, ref.seq.values())) + 1))
+        todo = ref.paths(rg, rp, min(most, len(btext) + slack))[::-1]
+        seen = 0
+        while todo:
+            aparts, atext = todo.pop()
+            e = extend(atext, btext[: reach(len(atext), p)], p)
+            if e.open and len(atext) < most:
+                grown = ref.further(aparts, atext, min(most, 2 * (len(atext) + slack)))
+                if len(grown) > 1 or len(grown[0][1]) > len(atext):
+                    todo += grown[::-1]
+                    if seen + len(todo) > MOST_PATHS:
+                        raise ValueError(f"more than {MOST_PATHS} paths within reach of section {rg}")
+                    continue
+            seen += 1
             if found is None or e.score > found[0].score:
                 found = (e, _trim(aparts, e.alen), _trim(bparts, e.blen))
     return found

@@ -81,6 +81,28 @@ def test_sections_and_paths_agree():
     assert sum(s[4] + s[5] for s in r.sections) == len(r.path)
 
 
+@pytest.mark.parametrize("cuts", [[], [150, 300, 460]])
+def test_several_gaps_beyond_the_xdrop(cuts):
+    """Insertions on the reference, then on the read, each within the X-drop and more than it together."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    b = text(414)
+    a = b[:114] + text(30) + b[114:214] + text(30) + b[214:314] + text(30) + b[314:] + text(900)
+    flip = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+
+    def held(s, at):
+        parts = [s[i:j] for i, j in zip([0, *at], [*at, len(s)])]
+        seq = {2 * i + d: flip(x) if d else x for i, x in enumerate(parts) for d in (0, 1)}
+        return M.Sequences(seq, {2 * i: [2 * i + 2] for i in range(len(at))} | {2 * i + 3: [2 * i + 1] for i in range(len(at))})
+
+    p = Params(k=14, score=1).resolved()
+    want = 400 - 3 * (p.gi + 30 * p.ge) + 14
+    on_ref = M.extend_seed(held(a, cuts), held(b, []), 0, 0, 0, 0, p)
+    assert on_ref.score >= want and rescore(on_ref.path, a, b, p) == on_ref.score
+    on_read = M.extend_seed(held(b, []), held(a, []), 0, 0, 0, 0, p)
+    assert on_read.score >= want and rescore(on_read.path, b, a, p) == on_read.score
+
+
 def test_upkeep_of_results():
     make = lambda a, b, score: M.Result(score, "", [], [(q, 0, q + 10) for q in range(a, b)])
     found = []
