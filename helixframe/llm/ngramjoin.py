@@ -46,6 +46,7 @@ from .neardup import runs
 WORDS = 5
 SKETCH = 1 << 18
 TILE = 512
+COMMON = 1024
 MASK = 1 << 23
 _CHUNK = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -165,22 +166,27 @@ def levels(sketch: DataFrame) -> np.ndarray:
     return np.where(excess > 1, 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.uint8)
 
 
+def halves(mark: bytes) -> tuple[int, int]:
+    """A 128-bit digest as two signed numbers."""
+    return int.from_bytes(mark[:8], "big", signed=True), int.from_bytes(mark[8:], "big", signed=True)
+
+
 def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """``key, doc_id, n, d, first``: each document under the shingles of its prefix.
+    """``key, n, d1, d2, first, level``: each set under the shingles of its prefix.
 
-    ``d`` holds 32 bits of the set's digest, and ``first`` marks the smaller prefix.
-    A task lists equal sets once.
+    ``d1, d2`` are the set's digest, ``first`` marks the smaller prefix and
+    ``level`` is that of the key's bucket. A task lists equal sets once.
     """
     sent = docs.sparkSession.sparkContext.broadcast(level)
+    names = ["key", "n", "d1", "d2", "first", "level"]
 
     def run(batches):
         level, shingler = sent.value, Shingler()
         seen: set[bytes] = set()
         for b in slices(batches):
-            names = b.column(0).to_pylist()
-            cols = [[], [], [], [], []]
+            cols = [[] for _ in names]
             held = 0
-            for doc_id, t in zip(names, b.column(1).to_pylist()):
+            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingler.set(t)
                 if doc_id is None or not len(s):
                     continue
@@ -193,40 +199,60 @@ def prefixes(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 n = len(s)
                 p, q = n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
                 l = level[(s >> np.uint64(46)).astype(np.int64)]
-                low = s[l == 0]
-                if len(low) < p:
-                    low = s[np.lexsort((s, l))[:p]]
-                for c, v in zip(cols, (low[:p].view(np.int64), np.full(p, doc_id, np.int64), np.full(p, n, np.int32), np.full(p, int.from_bytes(mark[:4], "little", signed=True), np.int32), np.arange(p) < q)):
+                low = np.flatnonzero(l == 0)
+                at = low[:p] if len(low) >= p else np.lexsort((s, l))[:p]
+                d1, d2 = halves(mark)
+                for c, v in zip(cols, (s[at].view(np.int64), np.full(p, n, np.int32), np.full(p, d1, np.int64), np.full(p, d2, np.int64), np.arange(p) < q, l[at].astype(np.int8))):
                     c.append(v)
                 held += p
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "doc_id", "n", "d", "first"])
-                    cols, held = [[], [], [], [], []], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
+                    cols, held = [[] for _ in names], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "doc_id", "n", "d", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=names)
 
-    return documents(docs).mapInArrow(run, "key long, doc_id long, n int, d int, first boolean")
+    return documents(docs).mapInArrow(run, "key long, n int, d1 long, d2 long, first boolean, level byte")
 
 
 def shards(listed: DataFrame) -> DataFrame:
-    """``shard, band, doc_id``: where each document with a possible partner is to be compared."""
-    sets = listed.repartition("key").groupBy("key", "n", "d").agg(F.min("doc_id").alias("doc_id"), F.max("first").alias("first"))
-    sets = sets.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1")
+    """``shard, band, d1, d2``: where each set with a possible partner is to be compared.
+
+    A list of level ``l`` is dealt in ``2**l`` parts by digest, so no list, however
+    long, is one task's work. Parts agree on a lead and a count through one small
+    row each.
+    """
+    salt = F.col("d1").bitwiseAND(F.expr("shiftleft(1L, level) - 1"))
+    sets = listed.withColumn("salt", salt).repartition("key", "salt").groupBy("key", "salt", "level", "n", "d1", "d2").agg(F.max("first").alias("first"))
+    sets = sets.withColumn("m", F.count("*").over(Window.partitionBy("key", "salt"))).filter("m > 1 or level > 0")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-9)).cast("int")
     # a document may be the larger of a link in its own band, and the smaller in its own or the next
     places = F.when(F.col("first"), F.array(band, band + 1)).otherwise(F.array(band))
     rows = sets.withColumn("band", F.explode(places)).withColumn("own", F.col("band") == band)
-    group = Window.partitionBy("key", "band")
-    order = F.struct(F.xxhash64("doc_id"), F.col("doc_id"))
+    group = Window.partitionBy("key", "salt", "band")
     rows = rows.select(
+        "key",
+        "salt",
+        "level",
         "band",
-        "doc_id",
-        F.min(order).over(group).alias("lead"),
+        "d1",
+        "d2",
+        F.min(F.struct("d1", "d2")).over(group).alias("lead"),
         F.count("*").over(group).alias("k"),
         F.max("first").over(group).alias("a"),
         F.max("own").over(group).alias("b"),
     )
-    return rows.filter("k > 1 and a and b").select(F.col("lead.doc_id").alias("shard"), "band", "doc_id").distinct()
+    rows = materialise(rows.filter("level > 0 or (k > 1 and a and b)"))
+    short = rows.filter("level = 0").select(F.col("lead.d1").alias("shard"), "band", "d1", "d2")
+    parts = rows.filter("level > 0").select("key", "salt", "level", "band", "lead", "k", "a", "b").distinct()
+    whole = parts.groupBy("key", "level", "band").agg(F.min("lead").alias("top"), F.sum("k").alias("k"), F.max("a").alias("a"), F.max("b").alias("b"))
+    whole = whole.filter("k > 1 and a and b").select("key", "band", F.col("top.d1").alias("shard"), F.explode(F.expr("sequence(0L, shiftleft(1L, level) - 1)")).alias("salt"))
+    long = rows.filter("level > 0").select("key", "salt", "band", "d1", "d2").join(whole, ["key", "salt", "band"]).select("shard", "band", "d1", "d2")
+    return short.unionByName(long).distinct()
+
+
+def named(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``shard, band, doc_id``: sets of ``placed`` by the least document that has them."""
+    return placed.join(classes.select("d1", "d2", F.col("least").alias("doc_id")), ["d1", "d2"]).select("shard", "band", "doc_id")
 
 
 class Tile:
@@ -395,15 +421,23 @@ def join(docs: DataFrame) -> DataFrame:
     known = materialise(profile(docs))
     level = levels(known.filter("not is_doc"))
     own = known.filter("is_doc").select("doc_id", "n", "digest")
-    placed = materialise(shards(prefixes(docs, level)))
-    placed = materialise(screen(placed, known.filter("is_doc")))
+    half = lambda at: F.conv(F.substring("digest", at, 16), 16, -10).cast("long")
+    classes = own.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = materialise(classes.withColumns({"d1": half(1), "d2": half(17)}))
+    placed = named(shards(prefixes(docs, level)), classes.filter("least is not null"))
+    placed = materialise(screen(materialise(placed), known.filter("is_doc")))
     groups = components(links(docs, placed))
-    classes = own.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     groups = groups.select(F.col("node").alias("digest"), "component")
-    named = groups.join(classes, "digest").groupBy("component").agg(F.min("least").alias("group_id"))
-    classes = classes.join(groups.join(named, "component").select("digest", "group_id"), "digest", "left")
-    classes = classes.select(F.col("digest").alias("_digest"), F.coalesce("group_id", "least").alias("group_id"))
-    both = own.join(classes, own["digest"] == classes["_digest"], "left")
+    first = groups.join(classes, "digest").groupBy("component").agg(F.min("least").alias("group_id"))
+    grouped = classes.join(groups.join(first, "component").select("digest", "group_id"), "digest", "left")
+    grouped = materialise(grouped.select(F.col("digest").alias("_digest"), F.coalesce("group_id", "least").alias("group_id"), "copies"))
+    # sets that a COMMON-th of all rows have, COMMON of them at most, are told to every task; a join finds the others
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    common = F.col("copies") > max(total / COMMON, 1)
+    often = grouped.filter(common).select("_digest", F.col("group_id").alias("_often"))
+    rows = own.join(F.broadcast(often), F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    rest = rows.filter("_often is null").join(grouped.filter(~common), F.col("digest") == F.col("_digest"), "left")
+    both = rows.filter("_often is not null").select("doc_id", "n", F.col("_often").alias("group_id")).unionByName(rest.select("doc_id", "n", "group_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id"))
     return both.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

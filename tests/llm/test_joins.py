@@ -93,6 +93,27 @@ def test_ngram_join_nulls_and_repeats(spark):
     assert sorted(str(r["doc_id"]) for r in kept) == ["3", "3", "4", "5", "None"]
 
 
+def test_sets_whose_digests_begin_alike_link(spark):
+    """The digests of the first two texts share 32 bits."""
+    words = [f"w{i}" for i in range(59)]
+    rows = [(i, " ".join([*words, last])) for i, last in enumerate(("v50627", "v90427", "v999999991"), 1)]
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+
+
+def test_frequent_lists_are_split(spark):
+    """One list that many sets share is dealt in parts, and none of its links is lost."""
+    g = random.Random(8)
+    base = [f"b{k}" for k in range(60)]
+    rows = [(i, " ".join(base[: g.randrange(52, 61)] + [f"x{i}"])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    level = ngramjoin.levels(ngramjoin.profile(df).filter("not is_doc"))
+    listed = ngramjoin.prefixes(df, level).collect()
+    assert max(r["level"] for r in listed) >= 3
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngramjoin.join(df).collect()}
+    assert got == brute(rows)
+
+
 def test_search_against_brute_force():
     g = np.random.default_rng(3)
     for _ in range(60):
