@@ -14,11 +14,14 @@ partner each at the threshold's cosine, in a random direction; how many vectors
 the table lie between the two keys of a pair is counted over the whole table, pass
 by pass, until the expected share of pairs that no window has joined is ``MISS`` at
 most. Larger and denser tables so get more passes (``PASSES`` at least), in groups
-of ``PASSES``, whose sorted copies are removed before the next group's are made.
+of ``PASSES``, whose sorted keys are removed before the next group's are made.
 
 Equal vectors are one class from the start, represented once, so a large group of
 copies costs no more than one vector.
 
+Ties: equal keys are ordered by vec_id; a cosine equal to the threshold links. An
+empty table gives no rows. Long vectors cost in proportion to their length.
+
 Nulls: a vector that is null, empty, zero, or has null or non-finite components
 links with nothing and is its own component; so is one with a null id, whose
 component is null. Vectors of different length do not link. Rows that share a
@@ -206,7 +209,7 @@ def candidate_links(classes: DataFrame, threshold: float, passes: int) -> DataFr
 
 
 def _pass_links(classes: DataFrame, threshold: float, first_pass: int, passes: int, path: str | None) -> DataFrame:
-    """Links of the blocks of some passes; their sorted copies are written to ``path``."""
+    """Links of the blocks of some passes; their sorted keys are written to ``path``."""
 
     def keys(batches):
         for b in batches:
@@ -215,11 +218,10 @@ def _pass_links(classes: DataFrame, threshold: float, first_pass: int, passes: i
                 own = b.filter(pa.array(sizes == d))
                 k = sort_keys(units(own.column("vec")), passes, first_pass)
                 for p in range(passes):
-                    yield pa.RecordBatch.from_pydict({"dim": own.column("dim"), "pass": pa.array(np.full(len(k), p, np.int32)), "key": pa.array(k[:, p]), "rep": own.column("rep"), "vec": own.column("vec")})
+                    yield pa.RecordBatch.from_pydict({"dim": own.column("dim"), "pass": pa.array(np.full(len(k), p, np.int32)), "key": pa.array(k[:, p]), "rep": own.column("rep"), "vec_key": own.column("vec_key")})
 
-    vec = classes.schema["vec"].dataType.simpleString()
-    dealt = classes.select(F.size("vec").alias("dim"), "rep", "vec").mapInArrow(keys, f"dim int, pass int, key long, rep long, vec {vec}")
-    order = ["dim", "pass", "key", "rep"]
+    dealt = classes.select(F.size("vec").alias("dim"), "rep", "vec_key", "vec").mapInArrow(keys, "dim int, pass int, key long, rep long, vec_key long")
+    order = ["dim", "pass", "key", "rep", "vec_key"]
     dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     dealt = materialise(dealt, path)
     part = F.shiftright("at", 33)
@@ -234,7 +236,9 @@ def _pass_links(classes: DataFrame, threshold: float, first_pass: int, passes: i
     ranked = dealt.withColumn("p", part).join(F.broadcast(first), "p").withColumn("rank", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
     block = F.floor(F.col("rank") / BLOCK)
     halo = F.when((F.col("rank") % BLOCK < HALO) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    blocks = ranked.select(F.explode(halo).alias("block"), "rank", "dim", "pass", "rep", "vec")
+    placed = ranked.select(F.explode(halo).alias("block"), "rank", "dim", "pass", "rep", "vec_key")
+    # vectors go straight to the blocks that compare them; until then keys and ids stand for them
+    blocks = placed.join(classes.select("rep", "vec_key", "vec"), ["rep", "vec_key"]).select("block", "rank", "dim", "pass", "rep", "vec")
 
     def link(t):
         block = t.column("block")[0].as_py()
