@@ -2,13 +2,16 @@
 
 Base spans are emails, IPv4-like addresses, payment cards and phone numbers.
 On top of them an information-theoretic step estimates, from co-occurrence over
-the whole corpus, how much a term near an entity reveals about it. A term ``t``
-is disclosing for an entity ``e`` when ``PMI(t;e) >= alpha * IC(e)``, where
-``IC(e) = log(N / n(e))`` and ``PMI = log(N n(t,e) / (n(t) n(e)))``: given
-``t``, a reader recovers at least the share ``alpha`` of the entity's
-information. All four counts are of distinct texts, so that a text copied a
-thousand times counts once, as does a term that a text repeats; the distinct
-contexts of ``t`` near ``e`` must reach ``min_support``.
+the whole corpus, how much a term near an entity reveals about it. An entity is
+protected as it stands and at its next more general level: an email's domain, an
+address's first three numbers, a card's issuer (six digits), a phone's country and
+area (four digits). A term ``t`` is disclosing for an entity ``e`` of either level
+when ``PMI(t;e) >= alpha * IC(e)``, where ``IC(e) = log(N / n(e))`` and
+``PMI = log(N n(t,e) / (n(t) n(e)))``: given ``t``, a reader recovers at least the
+share ``alpha`` of the entity's information. All four counts are of distinct texts,
+so that a text copied a thousand times counts once, as does a term that a text
+repeats. What is met in a single context may be chance: the distinct contexts of
+``t`` near ``e`` must reach ``min_support``.
 
 Disclosing terms get spans of kind ``term`` within ``window`` words of the
 entity they reveal; :func:`sanitise` generalises base spans to their kind
@@ -16,13 +19,16 @@ entity they reveal; :func:`sanitise` generalises base spans to their kind
 never touched.
 
 Nulls: a null text is an empty one, with no spans; a null doc_id is carried.
-Repeated rows give repeated result rows. An empty table gives no rows.
+Repeated rows give repeated result rows. An empty table gives no rows. Texts of any
+length are read whole, in time that grows with their length. A share equal to
+``alpha`` discloses; spans that begin together are listed by kind.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +42,7 @@ from .common import documents, map_texts, materialise, rewrite_texts, slices
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 5
 ALPHA = 0.8
-MIN_SUPPORT = 3
+MIN_SUPPORT = 2
 FILTER_BITS = 1 << 20
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,15 +103,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def near_terms(text: str, start: int, end: int, window: int) -> list[tuple[int, int, str]]:
-    """The ``window`` words on either side of a span (letters only, three or more), lower-cased.
+def words_outside(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """``(start, end, word)`` of the words (letters only, three or more, lower-cased) that touch none of ``spans``."""
+    joined: list[list[int]] = []
+    for s, e in sorted(spans):
+        if joined and s <= joined[-1][1]:
+            joined[-1][1] = max(e, joined[-1][1])
+        else:
+            joined.append([s, e])
+    begins = [s for s, _ in joined]
+    out = []
+    for m in _WORD.finditer(text):
+        i = bisect_left(begins, m.end())  # the spans that begin before the word ends
+        if not i or joined[i - 1][1] <= m.start():
+            out.append((m.start(), m.end(), m[0].lower()))
+    return out
 
-    Looks 64 characters per word to either side, so a run without blanks costs no more.
-    """
-    lo, hi = max(0, start - 64 * window), end + 64 * window
-    before = [(lo + m.start(), lo + m.end(), m[0].lower()) for m in _WORD.finditer(text[lo:start])][-window:]
-    after = [(end + m.start(), end + m.end(), m[0].lower()) for m in _WORD.finditer(text[end:hi])][:window]
-    return before + after
+
+def near_terms(text: str, spans: list[tuple[int, int]], window: int) -> list[list[tuple[int, int, str]]]:
+    """For each span the ``window`` words on either side of it; words inside any span are no terms."""
+    words = words_outside(text, spans)
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    out = []
+    for s, e in spans:
+        before, after = bisect_right(ends, s), bisect_left(starts, e)
+        out.append(words[max(0, before - window) : before] + words[after : after + window])
+    return out
+
+
+def general(kind: int, value: str) -> str:
+    """The next more general level of an entity."""
+    if kind == 0:
+        return value.rpartition("@")[2].lower()
+    if kind == 1:
+        return value.rpartition(".")[0]
+    return re.sub("[^0-9]", "", value)[: 6 if kind == 2 else 4]
 
 
 def _key(s: str) -> int:
@@ -120,7 +152,7 @@ _SCAN = "text_key long, base array<struct<kind:int,start:int,end:int>>, near arr
 def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, text_key, base, near`` per row: base spans, and the terms around each of them.
 
-    ``entity`` hashes an entity's kind and text, ``context`` the words around it.
+    ``entity`` hashes an entity's kind and text, or its general level; ``context`` the words around it.
     One pass over the texts, without a shuffle.
     """
 
@@ -132,10 +164,10 @@ def scan(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 keys.append(xxhash.xxh64_intdigest(t.encode(), seed=42) - (1 << 63))
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
                 rows = []
-                for k, s, e in own:
-                    words = near_terms(t, s, e, window)
-                    ent, ctx = _key(f"{k}:{t[s:e]}"), _key(" ".join(w for _, _, w in words))
-                    rows += [{"term": w, "entity": ent, "context": ctx, "start": a, "end": b} for a, b, w in words]
+                for (k, s, e), words in zip(own, near_terms(t, [x[1:] for x in own], window) if own else ()):
+                    ctx = _key(" ".join(w for _, _, w in words))
+                    for ent in (_key(f"{k}:{t[s:e]}"), _key(f"{k}/{general(k, t[s:e])}")):
+                        rows += [{"term": w, "entity": ent, "context": ctx, "start": a, "end": b} for a, b, w in words]
                 near.append(rows)
             return {"text_key": pa.array(keys, pa.int64()), "base": pa.array(base, _SPAN), "near": pa.array(near, _NEAR)}
 
