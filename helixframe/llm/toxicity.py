@@ -1,23 +1,27 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Words are runs of ``\\w`` in lower case. A word's input is its own hashed
-embedding beside the mean embedding of its hashed character trigrams. A text is
-cut into overlapping windows of ``WINDOW`` words, one every ``STRIDE``; the network
-reads each window both ways, pools its states by attention, and the text's score
-is the highest of all its windows. All windows of the whole text are scored.
+Words are runs of ``\\w`` in lower case; a run of more than ``LONG`` characters (a
+text without blanks) is read as pieces of that length, each half over the one
+before, so every character counts. A word's input is its own hashed embedding
+beside the mean embedding of its hashed character trigrams. A text is cut into
+overlapping windows of ``WINDOW`` words, one every ``STRIDE``; the network reads each
+window both ways, pools its states by attention, and the text's score is the
+highest of all its windows. All windows of the whole text are scored.
 
 Training takes a bounded, documented sample of labelled rows outside the held-out
-fold: ``POSITIVE_ROWS`` toxic and ``NEGATIVE_ROWS`` other rows of at most
-``MAX_TRAIN_CHARS`` characters, by hash of the id (toxic ones: short ones first).
-The first epochs give each window its text's label; later ones learn from the
-highest window of each text alone, as a text is toxic when one window is. At
-the end the bias is set so that 0.5 parts the sample's own scores best, a false
+fold: ``POSITIVE_ROWS`` toxic and ``NEGATIVE_ROWS`` other rows at most, in the order of
+their ids' hash, as long as the texts of one label have ``POSITIVE_CHARS`` or
+``NEGATIVE_CHARS`` characters or fewer together; texts of any length, each whole. The first epochs give each window
+its text's label (a fresh random ``EPOCH_WINDOWS`` of them an epoch); later ones learn
+from the highest window of each text alone, as a text is toxic when one window is.
+At the end the bias is set so that 0.5 parts the sample's own scores best, a false
 alarm weighing three times a miss.
 
 Nulls: a null text is an empty one; it scores as a window without words does.
-Null labels are not learned from. Without rows of both labels all texts score 0.
-Repeated rows give repeated result rows; of several labels for one id the
-highest counts.
+Null labels are not learned from. Without rows of both labels all texts score 0,
+and an empty table gives no rows. Repeated rows give repeated result rows; of
+several labels for one id the highest counts, of several texts the least. Of
+windows that score alike the first is learned from.
 """
 
 from __future__ import annotations
@@ -36,21 +40,26 @@ ROWS = 1 << 13  # of each embedding table
 EMBED, HIDDEN = 12, 8
 FOLDS, HELD_OUT = 5, 0
 POSITIVE_ROWS, NEGATIVE_ROWS = 1200, 2400
-MAX_TRAIN_CHARS = 20_000
-SHORT_CHARS = 2_500
+POSITIVE_CHARS, NEGATIVE_CHARS = 1_500_000, 6_500_000
+EPOCH_WINDOWS = 30_000
+LONG = 64
 KNOWN = 150_000
 
 _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    words = _WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    half = LONG // 2
+    return [w[i : i + LONG] for w in words for i in range(0, max(len(w) - half, 1), half)]
 
 
 def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word row of each word, and the rows of its character trigrams with where each word's begin."""
-    chars = np.frombuffer("".join([f"<{w[:64]}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter((min(len(w), 64) + 2 for w in words), np.int64, len(words))
+    chars = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     ends = np.cumsum(lengths)
     begins = ends - lengths
     h = np.full(len(chars), 7, np.uint32)
@@ -153,7 +162,7 @@ class Network:
         grad["ba"] = dact.sum((0, 1))
         dout += dact @ p["wa"].T
         dstates = dout.reshape(n, steps, 2, h)
-        dgates, dwh = np.zeros_like(gates), np.zeros_like(p["wh"])
+        dplaces, dwh = np.zeros((2, n, steps, 3 * h), gates.dtype), np.zeros_like(p["wh"])
         dnext = np.zeros((2, n, h), np.float32)
         for t in range(steps - 1, -1, -1):
             state, u, z, r, cand, m = saved[t]
@@ -166,18 +175,26 @@ class Network:
             du = np.concatenate([dz, dr, dc * r], axis=-1)
             dwh += np.matmul(state.transpose(0, 2, 1), du)
             dnext = np.where(m, dm * z, dh) + np.matmul(du, p["wh"].transpose(0, 2, 1))
-            for k, place in ((0, t), (1, steps - 1 - t)):
-                ok = mask[:, place]
-                np.add.at(dgates[k], index[ok, place], dg[k][ok])
+            dplaces[0, :, t], dplaces[1, :, steps - 1 - t] = dg
+        dgates = np.stack([_sums(index[mask], dplaces[k][mask], gates.shape[1]) for k in (0, 1)])
         grad["wh"], grad["bx"] = dwh, dgates.sum(1, keepdims=True)
         grad["wx"] = np.matmul(x.T[None], dgates)
         dx = np.matmul(dgates, p["wx"].transpose(0, 2, 1)).sum(0)
-        grad["word"], grad["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
-        np.add.at(grad["word"], w, dx[:, :EMBED])
-        np.add.at(grad["char"], c, np.repeat(dx[:, EMBED:] / count, count[:, 0].astype(np.int64), axis=0))
+        grad["word"] = _sums(w, dx[:, :EMBED], ROWS)
+        grad["char"] = _sums(c, np.repeat(dx[:, EMBED:] / count, count[:, 0].astype(np.int64), axis=0), ROWS)
         return grad
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows: the sums of ``rows`` by their place."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        own, begins = np.unique(at[order], return_index=True)
+        out[own] = np.add.reduceat(rows[order], begins, axis=0)
+    return out
+
+
 def window_index(n: int) -> np.ndarray:
     """Word numbers of the overlapping windows of a text of ``n`` words, -1 past its end."""
     starts = np.arange(0, max(n - WINDOW + STRIDE, 1), STRIDE)
@@ -263,8 +280,10 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: tuple[int,
     net = Network()
     g = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
-    split = [words_of(t) for t in texts]
-    windows = [window_index(len(w)) for w in split]
+    vocabulary: dict[str, int] = {}
+    split = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
+    names = list(vocabulary)
+    windows = [np.append(own, -1)[window_index(len(own))] for own in split]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
 
@@ -272,14 +291,12 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: tuple[int,
         nonlocal step
         for lo in range(0, len(chosen), 256):
             part = chosen[lo : lo + 256]
-            ids: dict[str, int] = {}
-            index = np.full((len(part), WINDOW), -1, np.int64)
-            for k, (i, j) in enumerate(part):
-                own = [split[i][x] for x in windows[i][j] if x >= 0]
-                index[k, : len(own)] = [ids.setdefault(w, len(ids)) for w in own]
-            if not ids:
+            index = np.array([windows[i][j] for i, j in part])
+            used, place = np.unique(index, return_inverse=True)
+            first = int(used[0] < 0)  # places past a window's end come first
+            if len(used) == first:
                 continue
-            grad = net.learn(list(ids), index, y[[i for i, _ in part]])
+            grad = net.learn([names[k] for k in used[first:]], place.reshape(index.shape) - first, y[[i for i, _ in part]])
             step += 1
             for k, v in grad.items():
                 m, s = moments[k]
@@ -287,21 +304,26 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: tuple[int,
                 s += 0.01 * (v * v - s)
                 net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
 
-    every = [(i, j) for i, w in enumerate(windows) for j in range(min(len(w), 400))]
+    def scored() -> list[np.ndarray]:
+        gates = np.concatenate([net.gates(net.inputs(names[lo : lo + 8192])[0]) for lo in range(0, len(names), 8192)] or [np.zeros((2, 1, 3 * HIDDEN), np.float32)], axis=1)
+        flat = np.concatenate(windows)
+        logits = np.concatenate([net.forward(gates, flat[lo : lo + 2048])[0] for lo in range(0, len(flat), 2048)])
+        return np.split(logits, np.cumsum([len(w) for w in windows])[:-1])
+
+    every = [(i, j) for i, w in enumerate(windows) for j in range(len(w))]
     few = max(1, 6000 // max(1, len(every)))  # small samples get more passes
     for _ in range(epochs[0] * few):
-        order = g.permutation(len(every))[:30_000]
+        order = g.permutation(len(every))[:EPOCH_WINDOWS]
         fit([every[k] for k in order])
     for _ in range(epochs[1] * min(few, 4)):
-        logits = Scorer(net.p).logits(texts)
         chosen = []
-        for i, v in enumerate(logits):
+        for i, v in enumerate(scored()):
             chosen.append((i, int(v.argmax())))
             if y[i] == 0:  # a few more that look toxic
-                chosen += [(i, int(j)) for j in np.argsort(-v)[1:4]]
+                chosen += [(i, int(j)) for j in np.argsort(-v, kind="stable")[1:4]]
         g.shuffle(chosen)
         fit([tuple(c) for c in chosen])
-    top = np.array([v.max() for v in Scorer(net.p).logits(texts)])
+    top = np.array([v.max() for v in scored()])
     edges = np.unique(top)
     cuts = (edges[1:] + edges[:-1]) / 2
     if len(cuts):
@@ -316,17 +338,23 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     """The bounded training sample: texts and labels, collected in the order of their ids' hash."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_y"))
     marks = marks.filter(crc_fold(F.col("_id"), FOLDS) != HELD_OUT)
-    sized = documents(docs).select("doc_id", F.length("text").alias("_n")).filter(F.col("_n").between(1, MAX_TRAIN_CHARS))
-    both = sized.join(marks, sized["doc_id"] == marks["_id"]).select("_id", "_y", (F.col("_n") > SHORT_CHARS).alias("_long"))
-    order = ("_long", F.xxhash64("_id"), "_id")
-    picked = [both.filter("_y = 1").orderBy(*order).limit(POSITIVE_ROWS), both.filter("_y = 0").orderBy(*order[1:]).limit(NEGATIVE_ROWS)]
-    ids = {r["_id"]: r["_y"] for p in picked for r in p.select("_id", "_y").collect()}
+    sized = documents(docs).groupBy("doc_id").agg(F.min(F.length("text")).alias("_n")).filter("_n > 0")
+    both = sized.join(marks, sized["doc_id"] == marks["_id"]).select("_id", "_y", "_n", F.xxhash64("_id").alias("_h"))
+    order = ("_h", "_id")
+    ids = {}
+    for y, most, size in ((1, POSITIVE_ROWS, POSITIVE_CHARS), (0, NEGATIVE_ROWS, NEGATIVE_CHARS)):
+        chars = 0
+        for r in both.filter(F.col("_y") == y).orderBy(*order).limit(most).collect():
+            chars += r["_n"]
+            if chars > size:
+                break
+            ids[r["_id"]] = y
     if not ids:
         return [], []
-    own = docs.sparkSession.createDataFrame(list(ids.items()), "_id long, _y int")  # bounded by the two parameters
-    rows = documents(docs).join(F.broadcast(own), F.col("doc_id") == F.col("_id")).filter(F.length("text") <= MAX_TRAIN_CHARS)
-    rows = rows.dropDuplicates(["_id"]).select("text", "_y", F.xxhash64("_id").alias("_h")).collect()
-    rows.sort(key=lambda r: (r["_h"], r["text"]))
+    own = docs.sparkSession.createDataFrame(list(ids.items()), "_id long, _y int")  # bounded by the parameters
+    rows = documents(docs).join(F.broadcast(own), F.col("doc_id") == F.col("_id"))
+    rows = rows.groupBy("_id", "_y").agg(F.min(F.struct(F.length("text"), "text")).alias("t")).select("t.text", "_y", F.xxhash64("_id").alias("_h"), "_id").collect()
+    rows.sort(key=lambda r: (r["_h"], r["_id"]))
     return [r["text"] for r in rows], [r["_y"] for r in rows]
 
 

@@ -189,6 +189,65 @@ def test_gradients():
             assert grad[name][at] == pytest.approx((up - down) / 2e-4, rel=0.05, abs=2e-5), name
 
 
+def plain_logit(p, inputs):
+    """One window, word by word: two recurrences, attention, a logistic unit."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, seen = toxicity.HIDDEN, []
+    for way, order in ((0, range(len(inputs))), (1, range(len(inputs) - 1, -1, -1))):
+        state, own = np.zeros(h), {}
+        for t in order:
+            g = inputs[t] @ p["wx"][way] + p["bx"][way][0]
+            u = state @ p["wh"][way]
+            z, r = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :])
+            own[t] = state
+        seen.append(own)
+    states = [np.concatenate([seen[0][t], seen[1][t]]) for t in range(len(inputs))]
+    e = np.array([np.tanh(s @ p["wa"] + p["ba"]) @ p["va"] for s in states])
+    a = np.exp(e - e.max())
+    return sum(w * s for w, s in zip(a / a.sum(), states)) @ p["wo"] + p["bo"][0]
+
+
+def test_forward_against_word_by_word():
+    net = toxicity.Network(seed=4)
+    g = np.random.default_rng(5)
+    net.p = {k: v.astype(np.float64) + 0.1 * g.standard_normal(v.shape) for k, v in net.p.items()}
+    text = " ".join(g.choice(["alpha", "beta", "gamma", "delta", "épsilon", "中文"], 75))
+    words = toxicity.words_of(text)
+    x = net.inputs(words)[0]
+    want = []
+    for lo in range(0, 75 - toxicity.WINDOW + toxicity.STRIDE, toxicity.STRIDE):
+        want.append(plain_logit(net.p, x[lo : lo + toxicity.WINDOW]))
+    got = net.forward(net.gates(x), toxicity.window_index(75))[0]
+    assert got == pytest.approx(want, abs=1e-5) and toxicity.Scorer(net.p).logits([text])[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_inputs_of_a_word():
+    net = toxicity.Network(seed=1)
+    x, (w, c, at, n) = net.inputs(["abcd", "x"])
+    assert n[:, 0].tolist() == [4, 1] and at.tolist() == [0, 4]  # <ab abc bcd cd>, <x>
+    assert x[0, toxicity.EMBED :] == pytest.approx(net.p["char"][c[:4]].mean(0)) and x[1, : toxicity.EMBED] == pytest.approx(net.p["word"][w[1]])
+
+
+def test_runs_without_blanks_are_read_whole():
+    net = toxicity.Scorer(toxicity.Network(seed=2).p)
+    a, b = net.scores(["x" * 64 + "kill", "x" * 64 + "love"])
+    assert a != b
+    for n in (63, 64, 65, 97, 1000):
+        w = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = toxicity.words_of(f"a {w} b")
+        assert parts[0] == "a" and parts[-1] == "b" and max(map(len, parts)) <= 64
+        assert all(any(w[i : i + 32] in p for p in parts) for i in range(max(1, n - 31)))
+
+
+def test_repeated_ids_are_sampled_alike(spark):
+    rows = [(1, "bad text"), (1, "a bad text"), (2, "fine"), (1, None), (2, "fine"), (None, "none"), (3, "")]
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    for k in range(3):
+        df = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(2 + k)
+        assert sorted(zip(*toxicity.sample(df.filter("text is not null"), labels))) == [("bad text", 1), ("fine", 0)]
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 31, 32, 33, 48, 49, 1000):
         index = toxicity.window_index(n)
