@@ -10,9 +10,16 @@ Trigrams run over lower-cased letters, with one blank between words; letters
 are taken modulo ``LETTERS`` classes, so every script is covered in fixed space.
 All training documents are counted, each with its whole text.
 
+:func:`keep_identified` rejects what no learned language resembles. How high a
+cosine is to be expected depends on a text's length, so the training rows give a
+threshold for each class of length (doublings of code points): the ``QUANTILE`` of
+the cosines of those whose language was told rightly, times ``MARGIN``.
+
 Nulls: a null text, or one without letters, gives ``und`` with score 0; null
 languages are not learned. Without any training text all is ``und``. Ties go to
-the language first in alphabetical order. Repeated rows count repeatedly.
+the language first in alphabetical order. Repeated rows count repeatedly, and each
+gives its result row. An empty table gives no rows. Long texts are bundled whole;
+a null doc_id is a training row.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ DIM = 1024
 LETTERS = 64  # class 0 is the blank between words
 SEED = 20_011
 FOLDS, HELD_OUT = 3, 1
-MIN_SCORE = 0.05
+QUANTILE, MARGIN = 0.001, 0.9
 _CHARS = 400_000  # of a block of texts that is counted at once
 
 
@@ -145,8 +152,32 @@ def _predictor(names: list[str], protos: np.ndarray):
 
 
 def _learned(docs: DataFrame):
-    train = docs.filter(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    return _predictor(*prototypes(train))
+    return _predictor(*prototypes(_training(docs)))
+
+
+def _training(docs: DataFrame) -> DataFrame:
+    return docs.filter(crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+
+
+def thresholds(docs: DataFrame, make_predictor, lang: str = "lang") -> list[float]:
+    """Least cosine by class of length (``bit_length`` of a text's code points), from training rows ``docs``.
+
+    The driver gets one number for each class. A class without rows takes that of the next shorter one.
+    """
+    rows = docs.select(F.col(lang).alias("lang"), "text").filter("lang is not null and text is not null")
+
+    def run(batches):
+        predict = make_predictor()
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            found = [(len(t).bit_length(), s) for t, own, g, s in zip(texts, b.column(0).to_pylist(), *predict(texts)) if g == own]
+            yield pa.RecordBatch.from_pydict({"size": pa.array([x for x, _ in found], pa.int32()), "score": pa.array([x for _, x in found], pa.float64())})
+
+    known = {r["size"]: r["least"] * MARGIN for r in rows.mapInArrow(run, "size int, score double").groupBy("size").agg(F.percentile_approx("score", QUANTILE, 10_000).alias("least")).collect()}
+    out = [0.0]
+    for size in range(1, 65):
+        out.append(known.get(size, out[-1]))
+    return out
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -166,12 +197,13 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with a cosine of ``min_score`` or more."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with the cosine that texts of its length reach (:func:`thresholds`)."""
     make_predictor = _learned(docs)
+    least = thresholds(_training(docs), make_predictor)
 
     def make():
         predict = make_predictor()
-        return lambda texts: [g != "und" and s >= min_score for g, s in zip(*predict(texts))]
+        return lambda texts: [g != "und" and s >= least[len(t).bit_length()] for t, g, s in zip(texts, *predict(texts))]
 
     return filter_texts(docs, make)

@@ -70,6 +70,29 @@ def test_language_odd_rows(docs, rows, empty, spark):
     assert kept.schema == docs.schema and 0 < kept.count() < docs.count()
 
 
+def test_keeping_identified_texts(spark):
+    """Thresholds by plain quantiles; texts of another language go, clean ones of any length stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    g = random.Random(2)
+    other = [" ".join("".join(g.choice("qxzwjvkpyg") for _ in range(7)) for _ in range(n)) for n in (150, 300, 900)]
+    strange = spark.createDataFrame([(10**7 + i, t, "en" if i % 2 else None) for i, t in enumerate([*other, "123 456", None])], "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").unionByName(strange)
+    kept = {r["doc_id"] for r in language.keep_identified(both).collect()}
+    assert not kept & {10**7 + i for i in (0, 2, 3, 4)}  # 1 may itself have been learned from
+    rows = docs.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("quality = 1").collect()
+    assert np.mean([r["doc_id"] in kept for r in rows]) > 0.99
+    train = docs.filter(~F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"))
+    make = language._predictor(*language.prototypes(train))
+    least = language.thresholds(train, make)
+    by_size = {}
+    for r in train.filter("text is not null and lang is not null").collect():
+        (lang,), (score,) = make()([r["text"]])
+        if lang == r["lang"]:
+            by_size.setdefault(len(r["text"]).bit_length(), []).append(score)
+    for size, scores in by_size.items():
+        assert least[size] == pytest.approx(language.MARGIN * sorted(scores)[max(0, int(np.ceil(language.QUANTILE * len(scores))) - 1)], abs=1e-6)
+
+
 # quality
 
 
