@@ -2,7 +2,7 @@
 
 Ids are replaced by their rank among all ids of the corpus (the most frequent is
 0), so most take one byte. A file has blocks of whole documents; a block has a
-header (documents, ids, bytes of data), the doc_ids, the lengths, then two-bit
+header (documents, those of them without a doc_id, ids, bytes of data), the doc_ids, the lengths, then two-bit
 byte counts, four to a control byte, then the data bytes. Decoding is a numpy
 table lookup: each control byte gives the sizes of its four integers, whose sums
 place their bytes.
@@ -13,7 +13,8 @@ file to file and within. A file is written under another name and then moved,
 so a task that is run again replaces it whole.
 
 Nulls: a null text is an empty one with the end id alone; null doc_ids come
-first. Rows of the same doc_id stay apart, ordered by length and content.
+first. Rows of the same doc_id stay apart, ordered by length and content. An empty
+table gives no files and no rows. A text of any length is one document of one block.
 Folders must be in a store that both Spark and ``pyarrow.fs`` reach.
 """
 
@@ -33,9 +34,8 @@ from pyspark.sql import functions as F
 from .common import documents, materialise, shared_dir, slices
 from .tokens import encoder
 
-MAGIC = b"HXTOK1\0\0"
+MAGIC = b"HXTOK2\0\0"
 BLOCK_IDS = 1 << 17
-NO_ID = -(1 << 63)  # stands for a null doc_id in a file
 
 
 #: Bytes of each of the four integers that a control byte stands for.
@@ -72,10 +72,11 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def write_block(out, names: list[int | None], docs: list[np.ndarray], rank: np.ndarray) -> int:
+    """Write documents, those without a doc_id first; returns how many ids they have."""
     ids = np.concatenate(docs)
     control, data = encode(rank[ids])
-    out.write(struct.pack("<QQQ", len(docs), len(ids), len(data)))
-    out.write(np.array([NO_ID if x is None else x for x in names], "<i8").tobytes())
+    out.write(struct.pack("<QQQQ", len(docs), names.count(None), len(ids), len(data)))
+    out.write(np.array([x or 0 for x in names], "<i8").tobytes())
     out.write(np.array([len(d) for d in docs], "<u8").tobytes())
     out.write(control)
     out.write(data)
@@ -83,17 +84,17 @@ def write_block(out, names: list[int | None], docs: list[np.ndarray], rank: np.n
 
 
 def read_blocks(path: str):
-    """``(doc_ids, lengths, ranks)`` of each block of a file."""
+    """``(doc_ids, which are null, lengths, ranks)`` of each block of a file."""
     store, where = fs.FileSystem.from_uri(path)
     with store.open_input_stream(where) as f:
         if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"{path} is no token file")
-        while head := f.read(24):
-            n, ids, size = struct.unpack("<QQQ", head)
+        while head := f.read(32):
+            n, none, ids, size = struct.unpack("<QQQQ", head)
             names = np.frombuffer(f.read(8 * n), "<i8")
             lengths = np.frombuffer(f.read(8 * n), "<u8").astype(np.int64)
             control = f.read(-(-ids // 4))
-            yield names, lengths, decode(control, f.read(size), ids)
+            yield names, np.arange(n) < none, lengths, decode(control, f.read(size), ids)
 
 
 def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -200,12 +201,12 @@ def read(spark, folder: str, files: list[dict], ids: bool = True) -> DataFrame:
         for b in batches:
             for i in b.column(0).to_pylist():
                 path, at = todo[i]
-                for names, lengths, ranks in read_blocks(path):
+                for names, none, lengths, ranks in read_blocks(path):
                     own = by_rank[ranks]
                     ends = np.cumsum(lengths)
                     begins = ends - lengths
                     cols = {
-                        "doc_id": pa.array(names, pa.int64(), mask=names == NO_ID),
+                        "doc_id": pa.array(names, pa.int64(), mask=none),
                         "start": pa.array(begins + at, pa.int64()),
                         "n_tokens": pa.array(lengths, pa.int64()),
                         "ids_crc32": pa.array([zlib.crc32(own[a:e].tobytes()) for a, e in zip(begins, ends)], pa.int64()),

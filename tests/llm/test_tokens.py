@@ -150,6 +150,15 @@ def test_packing(docs, rows, window):
     assert check_packing(rows, packing.pack(docs, WORD, window).collect(), window, 2) == 0
 
 
+def test_token_files_with_odd_ids(spark):
+    """Null ids, the least id of all, repeated rows, and columns named like results."""
+    rows = [(None, "none", 1), (-(1 << 63), "least", 2), (5, "five", 3), (5, "five", 3), (5, "cinq cinq", 4), (None, None, 5)]
+    out = tokenfile.round_trip(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3), BYTE).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [None, None, -(1 << 63), 5, 5, 5]
+    plain = library(BYTE)
+    assert sorted(r["n_tokens"] for r in out) == sorted(len(plain(t or "")) + 1 for _, t, _ in rows)
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty, WORD).count() == 0
 
