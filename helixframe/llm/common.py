@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder (URI) below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session does not set it (tests, a laptop), a temporary folder is
-    used. The folder is removed when the driver ends.
+    Where the session does not set it, a temporary folder is used in local mode
+    (tests, a laptop); on a cluster that is an error. The folder is removed when
+    the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/helixframe-{uuid.uuid4().hex}"

@@ -5,29 +5,29 @@ every match must contain is derived: an AND of ORs (of ANDs, for the spellings o
 a literal). The index holds postings ``(trigram, row)`` for the trigrams that some
 query names, in lower-cased text. Intersecting a query's postings gives the rows
 whose text is then verified with the expression itself; a rule without mandatory
-trigrams (a run of hex digits) scans every text.
+trigrams (a run of hex digits) scans every text where it lies. Only texts of
+candidates are sent anywhere; what meets the other rows is their spans.
 
 A match's place is the length of the text between matches and of the matches
 before it, in code points. Base kinds are ``assign``, ``access`` and ``hex``;
 further kinds add spans.
 
 Nulls: a null text is an empty one, with no spans; a null doc_id is carried, and
-its rows are joined null-safely. Rows are keyed by doc_id and a hash of the text:
-repeated rows share postings and each gives its result row; a collision could
-only have a text verified in vain. An empty table gives no rows.
+its rows are joined null-safely. Rows are keyed by doc_id and the MD5 of the text:
+repeated rows share postings and spans, and each gives its result row. An empty
+table gives no rows. Texts of any length are read whole, with any number of spans;
+spans that begin together are listed as the rules are.
 """
 
 from __future__ import annotations
 
-import re._constants as C
-import re._parser as P
 from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 
 
 @dataclass(frozen=True)
@@ -57,13 +57,107 @@ RULES = (
 )
 BASE = 3  # the first rules of RULES
 MOST = 64  # spellings of a literal that are followed
+MASK = 1 << 23  # bits of the filter of candidates
+PART = 256  # matches that are placed at a time
 
 Query = tuple[tuple[frozenset[str], ...], ...]
 """AND over clauses; a clause is an OR over sets of trigrams that occur together."""
 
 
+class Parser:
+    """Expressions as nodes: ``(set of characters or None,)`` for one character, ``("seq", nodes)``, ``("or", nodes)``, ``("rep", low, high, node)``.
+
+    Takes literals, classes, groups, alternatives and repeats; anything else is a ``ValueError``.
+    """
+
+    def __init__(self, pattern: str) -> None:
+        self.text, self.at = pattern, 0
+
+    def peek(self) -> str:
+        return self.text[self.at : self.at + 1]
+
+    def take(self, n: int = 1) -> str:
+        self.at += n
+        return self.text[self.at - n : self.at]
+
+    def parse(self):
+        node = self.ways()
+        if self.peek():
+            raise ValueError(f"{self.text}: unbalanced")
+        return node
+
+    def ways(self):
+        out = [self.sequence()]
+        while self.peek() == "|":
+            self.take()
+            out.append(self.sequence())
+        return out[0] if len(out) == 1 else ("or", out)
+
+    def sequence(self):
+        out = []
+        while self.peek() not in ("", "|", ")"):
+            node = self.atom()
+            while self.peek() and self.peek() in "?*+{":
+                node = ("rep", *self.bounds(), node)
+            out.append(node)
+        return "seq", out
+
+    def bounds(self) -> tuple[int, int | None]:
+        c = self.take()
+        if c != "{":
+            return {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
+        end = self.text.index("}", self.at)
+        low, comma, high = self.take(end - self.at).partition(",")
+        self.take()
+        return int(low or 0), (int(high) if high else None) if comma else int(low)
+
+    def atom(self):
+        c = self.take()
+        if c == "(":
+            if self.peek() == "?":
+                if self.take(2) != "?:":
+                    raise ValueError(f"{self.text}: no such group")
+            node = self.ways()
+            if self.take() != ")":
+                raise ValueError(f"{self.text}: unbalanced")
+            return node
+        if c == "[":
+            return (self.members(),)
+        if c == ".":
+            return (None,)
+        if c in "^$":
+            raise ValueError(f"{self.text}: no anchors")
+        return (frozenset(self.escaped() if c == "\\" else c),)
+
+    def escaped(self) -> str:
+        c = self.take()
+        if c == "x":
+            return chr(int(self.take(2), 16))
+        if c.isalnum():
+            raise ValueError(f"{self.text}: no such escape")
+        return c
+
+    def members(self) -> frozenset[str] | None:
+        negated = self.peek() == "^" and bool(self.take())
+        out: set[str] = set()
+        first = True
+        while first or self.peek() != "]":
+            first = False
+            c = self.take()
+            c = self.escaped() if c == "\\" else c
+            if self.peek() == "-" and self.text[self.at + 1 : self.at + 2] != "]":
+                self.take()
+                d = self.take()
+                d = self.escaped() if d == "\\" else d
+                out |= {chr(x) for x in range(ord(c), ord(d) + 1)}
+            else:
+                out.add(c)
+        self.take()
+        return None if negated else frozenset(out)
+
+
 def trigram_query(pattern: str) -> Query:
-    """Trigrams that every match of ``pattern`` contains, in lower case; empty where none is mandatory."""
+    """Trigrams that every match of ``pattern`` contains, in lower case; empty where none is mandatory or the pattern is beyond :class:`Parser`."""
     clauses: list[tuple[frozenset[str], ...]] = []
 
     def note(spellings: set[str]) -> None:
@@ -71,11 +165,11 @@ def trigram_query(pattern: str) -> Query:
         if sets and all(sets):
             clauses.append(tuple(sorted(sets, key=sorted)))
 
-    def spell(items) -> set[str] | None:
+    def spell(nodes) -> set[str] | None:
         """All strings of a short part in lower case, or None; notes what it can on the way."""
         done: set[str] | None = {""}
-        for op, arg in items:
-            own = one(op, arg)
+        for node in nodes:
+            own = one(node)
             if own is not None and done is not None and len(done) * len(own) <= MOST:
                 done = {a + b for a, b in product(done, own)}
                 continue
@@ -84,47 +178,35 @@ def trigram_query(pattern: str) -> Query:
             done = own
         return done
 
-    def one(op, arg) -> set[str] | None:
-        if op is C.LITERAL:
-            return {chr(arg).lower()}
-        if op is C.IN:
-            chars: set[str] = set()
-            for kind, x in arg:
-                if kind is C.LITERAL:
-                    chars.add(chr(x).lower())
-                elif kind is C.RANGE and x[1] - x[0] < MOST:
-                    chars |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
-                else:
-                    return None
-            return chars if len(chars) <= 8 else None
-        if op is C.SUBPATTERN:
-            return spell(arg[3])
-        if op is C.BRANCH:
-            kept = len(clauses)
-            ways, complete = set(), True
-            for way in arg[1]:
-                own = spell(way)
-                complete &= own is not None and len(own) <= MOST
-                ways |= own or set()
+    def one(node) -> set[str] | None:
+        if len(node) == 1:
+            chars = {c.lower() for c in node[0] or ()}
+            return chars if 0 < len(chars) <= 8 else None
+        if node[0] == "seq":
+            return spell(node[1])
+        kept = len(clauses)
+        if node[0] == "or":
+            ways = [one(way) for way in node[1]]
             del clauses[kept:]  # what one way needs is not mandatory
-            return ways if complete else None
-        if op is C.MAX_REPEAT:
-            low, high, item = arg
-            if (low, high) == (0, 1):
-                kept = len(clauses)
-                own = spell(item)
-                del clauses[kept:]
-                return None if own is None else own | {""}
-            if low == high and low <= 8:
-                return spell(list(item) * low)
-            if low > 0:
-                own = spell(list(item) * min(low, 3))
-                if own is not None:
-                    note(own)
-            return None
+            whole = None if None in ways else set().union(*ways)
+            return whole if whole and len(whole) <= MOST else None
+        low, high, item = node[1:]
+        if (low, high) == (0, 1):
+            own = one(item)
+            del clauses[kept:]
+            return None if own is None else own | {""}
+        if low == high and low <= 8:
+            return spell([item] * low)
+        if low > 0:
+            own = spell([item] * min(low, 3))
+            if own is not None:
+                note(own)
         return None
 
-    rest = spell(P.parse(pattern))
+    try:
+        rest = one(Parser(pattern).parse())
+    except ValueError:
+        return ()
     if rest:
         note(rest)
     return tuple(dict.fromkeys(clauses))
@@ -136,7 +218,7 @@ def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return documents(docs).withColumn("text_key", F.xxhash64("text"))
+    return documents(docs).withColumn("text_key", F.md5(F.encode("text", "utf-8")))
 
 
 def index(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -189,10 +271,12 @@ def spans(rule: Rule, number: int) -> Column:
     part = F.regexp_extract_all("text", pattern, F.lit(rule.group)) if rule.group else whole
     none = F.array().cast("array<struct<start:long,rule:int,end:long>>")
 
+    def bound(value: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
+
     def placed(m: Column) -> Column:
         gaps = F.split(F.col("text"), rule.guard + rule.pattern, -1)
-        both = F.arrays_zip(m.alias("m"), F.slice(gaps, 1, F.size(m)).alias("g"), part.alias("p"))
-        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        every = F.arrays_zip(m.alias("m"), F.slice(gaps, 1, F.size(m)).alias("g"), part.alias("p"))
 
         def step(acc, x):
             begin = acc["at"] + F.length(x["g"])
@@ -201,23 +285,44 @@ def spans(rule: Rule, number: int) -> Column:
             more = F.when(F.length(x["p"]) >= rule.least, F.array_append(acc["out"], own)).otherwise(acc["out"])
             return F.struct(end.cast("long").alias("at"), more.alias("out"))
 
-        return F.aggregate(both, start, step, lambda acc: acc["out"])
+        def part_step(acc, x):
+            done = F.aggregate(x, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return bound(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(acc["out"], d["out"]).alias("out")))
+
+        # an array grows by copies, so matches are placed in parts
+        def all_parts(e):
+            cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / PART).cast("int")), lambda i: F.slice(e, i * PART + 1, PART))
+            return F.aggregate(cut, F.struct(F.lit(0).cast("long").alias("at"), F.array(none).alias("out")), part_step, lambda acc: F.flatten(acc["out"]))
+
+        return bound(every, all_parts)
 
     return F.element_at(F.transform(F.array(whole), lambda m: F.when(F.size(m) == 0, none).otherwise(placed(m))), 1)
 
 
+def _maybe(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose key may be among ``ids``, by a filter of ``MASK`` bits (1 MB is broadcast); a join decides afterwards."""
+    place = F.pmod(F.xxhash64("text_key"), F.lit(MASK))
+    word, bit = F.shiftright(place, 6), (place % 64).cast("int")
+    mask = ids.select(word.alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("_w").agg(F.bit_or("b").alias("_bits"))
+    marked = rows.withColumn("_word", word).join(F.broadcast(mask), F.col("_word") == F.col("_w"))
+    return marked.filter(F.call_function("getbit", F.col("_bits"), bit) == 1).select(*rows.columns)
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id, spans`` for every row of ``docs``: spans sorted by start, then by rule as listed."""
     rows = keyed(docs)
-    found = candidates(index(rows, rules), rules)
-    found = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("rules").alias("_r"))
-    both = rows.join(found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["text_key"] == found["_k"]), "left")
     none = F.array().cast("array<struct<start:long,rule:int,end:long>>")
-    every = []
-    for i, r in enumerate(rules):
-        own = spans(r, i)
-        every.append(F.when(F.coalesce("_r", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, own).otherwise(none) if trigram_query(r.pattern) else own)
-    return both.select("doc_id", F.array_sort(F.concat(*every)).alias("spans"))
+    by_index = [bool(trigram_query(r.pattern)) for r in rules]
+    found = materialise(candidates(index(rows, rules), rules))
+    texts = _maybe(rows, found).distinct()  # repeated rows are verified once
+    found = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("rules").alias("_r"))
+    texts = texts.join(found, texts["doc_id"].eqNullSafe(found["_d"]) & (texts["text_key"] == found["_k"]))
+    some = [F.when(F.col("_r").bitwiseAND(F.lit(1 << i)) != 0, spans(r, i)).otherwise(none) for i, r in enumerate(rules) if by_index[i]]
+    verified = texts.select("_d", "_k", F.concat(none, *some).alias("_spans")).filter(F.size("_spans") > 0)
+    every = [spans(r, i) for i, r in enumerate(rules) if not by_index[i]]
+    read = rows.select("doc_id", "text_key", F.concat(none, *every).alias("own"))
+    both = read.join(verified, read["doc_id"].eqNullSafe(verified["_d"]) & (read["text_key"] == verified["_k"]), "left")
+    return both.select("doc_id", F.array_sort(F.concat("own", F.coalesce("_spans", none))).alias("spans"))
 
 
 def digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

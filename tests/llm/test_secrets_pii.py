@@ -72,6 +72,20 @@ def test_trigram_queries():
     assert all(q(r.pattern) for r in secrets.RULES if r.kind != "hex")
 
 
+def test_queries_of_odd_patterns():
+    q = secrets.trigram_query
+    assert q(r"(?<!x)abcd") == q(r"\wabcd") == q("^abcd") == q("(abcd") == ()  # beyond the parser: such rules scan
+    assert q(r"[^a]bcd{2}") == ((frozenset({"bcd", "cdd"}),),)
+    assert q(r"x(?:ab){2,}[.\]-]") == ((frozenset({"aba", "bab"}),),)
+    assert q("[a-z]{3}") == q(".*") == q("") == ()
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token={'x' * (6 + k % 5)}" for k in range(3000)) + " AKIA" + "A" * 30
+    got = secrets.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["spans"] == spelled(secret_spans(text)) and got["n_access"] == 1
+
+
 def test_candidates_cover_all_matches(messy):
     rows, df = messy
     keyed = secrets.keyed(df)
