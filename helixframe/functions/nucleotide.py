@@ -81,9 +81,15 @@ def mirror(length: Column, pos: Column) -> Column:
     return 2 * length - pos - 1
 
 
-def windows(seq: Column, k: int) -> Column:
-    """All overlapping windows of ``k`` letters, in one pass over the string."""
-    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
+def windows(seq: Column, k: int, tail: int = 0) -> Column:
+    """All overlapping windows of ``k`` letters, in one pass over the string, each with ``tail`` letters more where there are any."""
+    more = f".{{0,{tail}}}" if tail else ""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}{more}))"), F.lit(1))
+
+
+def chunks(seq: Column, size: int, overlap: int) -> Column:
+    """A string in pieces of ``size`` letters, each with the ``overlap`` letters that follow it."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
 
 
 def cigar_tokens(path: Column) -> Column:
@@ -115,6 +121,16 @@ def gapless_score(a: Column, b: Column, width: int = 16) -> Column:
     return sum((hit(i) for i in range(1, width)), hit(0))
 
 
+def steps(path: Column, step: str) -> Column:
+    """Steps of one kind (R or D) in a path."""
+    return F.length(F.regexp_replace(path, f"[^{step}]", ""))
+
+
+def window_steps(path: Column, at: Column, width: int = 32, step: str = "D") -> Column:
+    """Steps of one kind among the ``width`` steps from place ``at`` (0 first) on."""
+    return steps(F.substring(path, at + 1, F.lit(width)), step)
+
+
 def join_path(reverse: Column, seed: int, forward: Column) -> Column:
     """Path of an alignment: reverse extension, ``seed`` matches, forward extension."""
     return F.concat(reverse, F.lit("DR" * seed), forward)

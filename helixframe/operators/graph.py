@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.nucleotide import BASES, normal, revcomp, windows
+from ..functions.nucleotide import BASES, chunks, normal, revcomp, windows
 from ..functions.storage import checkpoint
 from .ordering import numbered
 
@@ -91,10 +91,18 @@ def mirrored(links: DataFrame) -> DataFrame:
     return links.unionByName(links.select(flip("dst").alias("src"), flip("src").alias("dst"), "ord"))
 
 
-def linear_kmers(rows: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """``key, pos, kmer`` for plain strings: every window of ``k`` letters A, C, G, T."""
-    found = rows.select(key, F.posexplode(windows(F.col(seq), k)).alias("pos", "kmer"))
-    return found.filter(~F.col("kmer").rlike("[^ACGT]"))
+CHUNK = 4096
+
+
+def linear_kmers(rows: DataFrame, key: str, seq: str, k: int, tail: int = 0) -> DataFrame:
+    """``key, pos, kmer`` for plain strings: every window of ``k`` letters A, C, G, T; with ``tail``, also ``after``, the letters that follow it.
+
+    A string is cut into chunks first, so no array of windows is longer than ``CHUNK``, whatever the string's length.
+    """
+    parts = rows.select(key, F.posexplode(chunks(F.col(seq), CHUNK, k - 1 + tail)).alias("_chunk", "_part"))
+    found = parts.select(key, "_chunk", F.posexplode(windows(F.col("_part"), k, tail)).alias("_at", "_window")).filter(F.col("_at") < CHUNK)
+    out = found.select(key, (F.col("_chunk") * CHUNK + F.col("_at")).alias("pos"), F.substring("_window", 1, k).alias("kmer"), *([F.substring("_window", k + 1, tail).alias("after")] if tail else []))
+    return out.filter(~F.col("kmer").rlike("[^ACGT]"))
 
 
 def expand(kmers: DataFrame) -> DataFrame:

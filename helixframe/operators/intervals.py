@@ -69,6 +69,11 @@ def nearest(keys: DataFrame, probes: DataFrame, group: list[str], left: bool = T
     return rows.join(carried, same).select(*cols, F.coalesce("found", "_carried").alias("found"))
 
 
+def in_order(found: DataFrame, query: list[str], insertion: str) -> DataFrame:
+    """Intervals found for each query with ``seq``: their place by ``lkey``, equal ones in the order of insertion."""
+    return found.withColumn("seq", F.row_number().over(Window.partitionBy(*query).orderBy("lkey", insertion)) - 1)
+
+
 def exact(keys: DataFrame, probes: DataFrame, group: list[str]) -> DataFrame:
     """``probes`` joined with all keys equal to theirs."""
     return probes.join(keys, [*group, "key"])

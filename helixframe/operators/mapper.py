@@ -10,17 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import Params
-from .align import extend, gapless_count, reach, reverse_path
+from .align import Extension, extend, gapless_count, reach, reverse_path
 from .graph import Graph, graph_kmers
 from .seeds import counted_hits, drop_adjacent, query_kmers
 
 MOST_PATHS = 256
+WIDTH = 16  # letters of the gapless filter's window
 
 Section = tuple[int, int, int, int, int, int, int]
 """aid, bid, apos, bpos, alen, blen, ppos."""
@@ -70,6 +72,13 @@ class Result:
     #: (qpos, place on the reference) along the alignment, for the band test
     track: list[tuple[int, int, int]] = field(default_factory=list)
 
+    @cached_property
+    def by_place(self) -> dict[int, list[tuple[int, int]]]:
+        out: dict[int, list[tuple[int, int]]] = {}
+        for q, g, r in self.track:
+            out.setdefault(q, []).append((g, r))
+        return out
+
 
 def cut_sections(path: str, a: list[tuple[int, int, int]], b: list[tuple[int, int, int]]) -> list[Section]:
     """Sections of a path over parts ``(gid, start, length)`` of both sides: cut wherever a side enters a new part."""
@@ -118,7 +127,7 @@ def _trim(parts: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int
 
 
 def _best(ref: Sequences, query: Sequences, rg: int, rp: int, qg: int, qp: int, p: Params):
-    """Best extension over all paths from a place on both sides.
+    """Best extension over all paths from a place on both sides; none along a path whose first window fails the gapless filter.
 
     Reference paths are followed on, twice as far each time, while the X-drop leaves cells open where they end.
     """
@@ -132,7 +141,10 @@ def _best(ref: Sequences, query: Sequences, rg: int, rp: int, qg: int, qp: int,
         seen = 0
         while todo:
             aparts, atext = todo.pop()
-            e = extend(atext, btext[: reach(len(atext), p)], p)
+            if min(len(atext), len(btext)) >= WIDTH and gapless_count(atext, btext, WIDTH) <= p.gapless:
+                e = Extension(0, 0, 0, "", False)  # the first window does not look alike: nothing is extended
+            else:
+                e = extend(atext, btext[: reach(len(atext), p)], p)
             if e.open and len(atext) < most:
                 grown = ref.further(aparts, atext, min(most, 2 * (len(atext) + slack)))
                 if len(grown) > 1 or len(grown[0][1]) > len(atext):
@@ -205,7 +217,7 @@ def place(gid: int, pos: int) -> int:
 
 def covered(results: list[Result], q: int, g: int, r: int, width: int) -> bool:
     """Whether a result passes within the band of a seed at the seed's query position."""
-    return any(g == tg and 0 <= t + width - r < 2 * width for res in results for tq, tg, t in res.track if tq == q)
+    return any(g == tg and 0 <= t + width - r < 2 * width for res in results for tg, t in res.by_place.get(q, ()))
 
 
 def upsert(results: list[Result], new: Result) -> None:

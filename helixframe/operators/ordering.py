@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import positions
+
 
 def sort_full(rows: DataFrame, key: str) -> DataFrame:
     """By the whole unsigned key, ascending."""
@@ -72,18 +74,11 @@ def linked(rows: DataFrame, group: list[str], order: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str, *ties: str) -> DataFrame:
-    """Rows with ``n``, numbered from 0 in the order of a numeric ``key``, without gathering them in one task.
+    """Rows with ``n``, numbered from 0 in the order of ``key`` and ``ties``, without gathering them in one task.
 
-    Quantiles of the key (200 at most reach the driver) part the rows; each part is
-    numbered on its own, after the counts of the parts before it.
+    Ranges of (key, ties) part the rows, so a key that many rows share is spread as far as its ties differ.
     """
-    cuts = rows.agg(F.percentile_approx(key, [i / 200 for i in range(1, 200)], 2000).alias("c")).first()["c"] or []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(key)))
-    dealt = rows.withColumn("_part", part)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(key, *ties)) - 1
-    return dealt.withColumn("_in", own).join(F.broadcast(starts), "_part").withColumn("n", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+    return positions(rows.orderBy(key, *ties))
 
 
 def distinct_scores(results: DataFrame, read: str = "read_id", score: str = "score", order: str = "ordinal") -> DataFrame:

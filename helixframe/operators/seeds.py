@@ -20,15 +20,17 @@ def strands(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return rows.select(key, F.explode(both).alias("x")).select(key, F.col("x.dir").alias("dir"), F.col("x.s").alias("seq"))
 
 
-def reference_kmers(rows: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """``rid, dir, rpos, kmer`` of both strands."""
+def reference_kmers(rows: DataFrame, key: str, seq: str, k: int, tail: int = 0) -> DataFrame:
+    """``rid, dir, rpos, kmer`` of both strands; with ``tail``, also ``a``, the letters that follow."""
     both = strands(rows, key, seq).withColumn("_id", F.struct(F.col(key).alias("rid"), "dir"))
-    return linear_kmers(both, "_id", "seq", k).select("_id.rid", "_id.dir", F.col("pos").alias("rpos"), "kmer")
+    more = [F.col("after").alias("a")] if tail else []
+    return linear_kmers(both, "_id", "seq", k, tail).select("_id.rid", "_id.dir", F.col("pos").alias("rpos"), "kmer", *more)
 
 
-def query_kmers(rows: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """``qid, qpos, kmer`` of the forward strand."""
-    return linear_kmers(rows, key, seq, k).select(F.col(key).alias("qid"), F.col("pos").alias("qpos"), "kmer")
+def query_kmers(rows: DataFrame, key: str, seq: str, k: int, tail: int = 0) -> DataFrame:
+    """``qid, qpos, kmer`` of the forward strand; with ``tail``, also ``b``, the letters that follow."""
+    more = [F.col("after").alias("b")] if tail else []
+    return linear_kmers(rows, key, seq, k, tail).select(F.col(key).alias("qid"), F.col("pos").alias("qpos"), "kmer", *more)
 
 
 def matched(ref: DataFrame, query: DataFrame) -> DataFrame:
@@ -43,16 +45,17 @@ def counted_hits(ref: DataFrame, query: DataFrame) -> DataFrame:
 
 
 def seed_join(ref: DataFrame, query: DataFrame, repeat: int | None = None) -> DataFrame:
-    """``qid, qpos, rid, dir, rpos``: pairs of equal k-mers.
+    """``qid, qpos, rid, dir, rpos`` (and ``a``, ``b`` where the sides have them): pairs of equal k-mers.
 
-    With ``repeat``, k-mers with more reference positions than that are left out
-    before the join, so no key of the join has more rows on that side.
+    The reference is reduced to what a query has first. With ``repeat``, k-mers with
+    more reference positions than that are left out before the join, so no key of
+    the join has more rows on that side.
     """
+    ref = matched(ref, query)
     if repeat is not None:
-        ref = matched(ref, query)
         common = counted_hits(ref, query).filter(F.col("hits") <= repeat).select("kmer")
         query = query.join(common, "kmer")
-    return query.join(ref, "kmer").select("qid", "qpos", "rid", "dir", "rpos")
+    return query.join(ref, "kmer").select("qid", "qpos", "rid", "dir", "rpos", *[c for c in ("a", "b") if c in (*ref.columns, *query.columns)])
 
 
 def repetitive(ref: DataFrame, query: DataFrame, repeat: int) -> DataFrame:

@@ -69,8 +69,9 @@ def detect(spark: SparkSession, path: str, given: str | None = None) -> str:
     else:
         found = detect_by_name(path)
         if found is None:
-            first = spark.read.text(path).limit(1).collect()
-            found = detect_by_content(first[0]["value"] + "\n") if first else None
+            # 32 lines have the first 32 characters
+            first = lines_of(spark, path).limit(32).select(F.substring("value", 1, 33).alias("value")).collect()
+            found = detect_by_content("\n".join(r["value"] for r in first) + "\n") if first else None
     if found is None:
         raise ValueError(f"{path}: no known format")
     if found == "fast5":
@@ -91,12 +92,28 @@ def lines_of(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
     return (reader.option("lineSep", sep) if sep else reader).text(path)
 
 
-def fasta(lines: DataFrame) -> DataFrame:
-    """``segments`` from parts between ``>``.
+def fasta_parts(spark: SparkSession, path: str) -> DataFrame:
+    """A FASTA source in parts, as ``value``, each from the text after a ``>`` that begins a line to the next such line.
 
-    A name ends at the first blank; the rest of its line is the comment. The
-    sequence is all further printable characters.
+    The first ``>`` of a file is taken off; a file should begin with one, or with blank lines. (A header of the first
+    block of a file that itself begins with ``>`` loses that mark.)
     """
+    if path == "-" or re.match(r"(http|ftp)://", path):
+        return lines_of(spark, path, "\n>").withColumn("value", F.regexp_replace("value", "^>", ""))
+    strip_codec(path)
+    rows = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_block_start").alias("at"))
+    return rows.select(F.when(F.col("at") == 0, F.regexp_replace("value", "^>", "")).otherwise(F.col("value")).alias("value"))
+
+
+def fasta(parts: DataFrame) -> DataFrame:
+    """``segments`` from :func:`fasta_parts`.
+
+    A header runs to its line's end, whatever marks it holds; a ``>`` in a sequence
+    begins the next record. A name ends at the first blank; the rest of its line is
+    the comment. The sequence is all further printable characters.
+    """
+    record = r"(?s)(?:^|>)([^\n]*(?:\n[^>]*)?)"
+    lines = parts.select(F.explode(F.regexp_extract_all("value", F.lit(record), F.lit(1))).alias("value"))
     v = F.col("value")
     head = F.regexp_replace(F.regexp_extract(v, r"^([^\n]*)", 1), r"^[ \t]+|[ \t\r]+$", "")
     name = F.regexp_replace(F.regexp_extract(head, r"^([^ ]*)", 1), r"[ \t]+$", "")
@@ -186,7 +203,7 @@ def read_records(spark: SparkSession, path: str, format: str | None = None, skip
     kind = detect(spark, path, format)
     none = spark.createDataFrame([], LINKS)
     if kind == "fasta":
-        return fasta(lines_of(spark, path, ">")), none
+        return fasta(fasta_parts(spark, path)), none
     if kind == "fastq":
         return fastq(spark, path, skip_qual), none
     return gfa(lines_of(spark, path))

@@ -8,6 +8,7 @@ from helixframe.functions.params import Params
 from helixframe.operators import graph as G
 from helixframe.operators import mapper as M
 from helixframe.operators.align import rescore
+from helixframe.operators.ordering import numbered
 from helixframe.streaming.drain import drain, parallel
 
 g = random.Random(11)
@@ -65,6 +66,39 @@ def test_paths_through_sections(spark):
     assert (second[3], [s[0] for s in second[4]]) == ("80M", [0, 4])
 
 
+def test_gapless_filter_ends_an_extension():
+    """A side whose first 16 letters hardly match is not extended, though it would match further on; a lower threshold lets it through."""
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    seed, tail, head = text(14), text(120), text(40)
+    a, b = head + seed + "AAAAAAAAAAAAAAAAAA" + tail, head + seed + "CCCCCCCCCCCCCCCCCC" + tail
+    flip = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    ref, query = (M.Sequences({0: s, 1: flip(s)}, {}) for s in (a, b))
+    plain = Params(k=14, score=1, gi=1, ge=1, x=1, xdrop=100)
+    closed = M.extend_seed(ref, query, 0, 40, 0, 40, plain.resolved())
+    opened = M.extend_seed(ref, query, 0, 40, 0, 40, Params(**{**vars(plain), "gapless": -1}).resolved())
+    assert (closed.score, closed.path) == (54, "DR" * 54) and opened.score > 120
+    # shorter than the window: not filtered
+    near = M.extend_seed(*(M.Sequences({0: s[:64], 1: flip(s[:64])}, {}) for s in (a, b)), 0, 40, 0, 40, plain.resolved())
+    assert near.score == 54
+
+
+def test_numbering_with_few_keys(spark):
+    rows = spark.range(5000).selectExpr("id", "id % 3 as key").repartition(7)
+    got = sorted((r["n"], r["key"], r["id"]) for r in numbered(rows, "key", "id").collect())
+    want = sorted((i % 3, i) for i in range(5000))
+    assert got == [(n, *kv) for n, kv in enumerate(want)]
+    assert numbered(rows.limit(0), "key", "id").count() == 0
+
+
+def test_long_sequences_are_cut_into_chunks(spark):
+    text = "".join(g.choice("ACGTN") if g.random() < 0.1 else g.choice("ACGT") for _ in range(2 * G.CHUNK + 37))
+    for n in (len(text), G.CHUNK, G.CHUNK + 1, 13, 14, 0):
+        df = spark.createDataFrame([(1, text[:n])], "i int, s string")
+        got = [(r["pos"], r["kmer"], r["after"]) for r in G.linear_kmers(df, "i", "s", 14, 17).orderBy("pos").collect()]
+        assert got == [(p, text[p : p + 14], text[:n][p + 14 : p + 31]) for p in range(n - 13) if "N" not in text[p : p + 14]]
+
+
 def test_empty_inputs(spark, linear):
     assert M.align(linear, reads(spark, ["", "ACGT"]), P).count() == 0
     assert M.align(linear, reads(spark, ["ACGT"]).limit(0), P).count() == 0
