@@ -19,8 +19,8 @@ def normal(seq: Column) -> Column:
 
 def dna(text: Column) -> Column:
     """A nucleotide string for any text: its letters a-z, taken modulo 4 in alphabetical order."""
-    letters = F.regexp_replace(F.lower(text), "[^a-z]", "")
-    return F.upper(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"))
+    letters = F.regexp_replace(F.lower(text), "[^a-z]+", "")
+    return F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
 
 
 def revcomp(seq: Column) -> Column:
@@ -87,11 +87,6 @@ def windows(seq: Column, k: int, tail: int = 0) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}{more}))"), F.lit(1))
 
 
-def chunks(seq: Column, size: int, overlap: int) -> Column:
-    """A string in pieces of ``size`` letters, each with the ``overlap`` letters that follow it."""
-    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
-
-
 def cigar_tokens(path: Column) -> Column:
     """Runs of a path string (R a step on a, D a step on b; DR a match) as CIGAR tokens."""
     ops = F.replace(F.replace(F.replace(path, F.lit("DR"), F.lit("M")), F.lit("D"), F.lit("I")), F.lit("R"), F.lit("D"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.nucleotide import BASES, chunks, normal, revcomp, windows
+from ..functions.nucleotide import BASES, normal, revcomp, windows
 from ..functions.storage import checkpoint
 from .ordering import numbered
 
@@ -97,12 +97,19 @@ CHUNK = 4096
 def linear_kmers(rows: DataFrame, key: str, seq: str, k: int, tail: int = 0) -> DataFrame:
     """``key, pos, kmer`` for plain strings: every window of ``k`` letters A, C, G, T; with ``tail``, also ``after``, the letters that follow it.
 
-    A string is cut into chunks first, so no array of windows is longer than ``CHUNK``, whatever the string's length.
+    A string is cut into chunks first, so no array of places is longer than ``CHUNK``, whatever the string's length.
+    Windows are cut from bytes (a letter beyond ASCII counts as N), at a cost that does not depend on their place.
     """
-    parts = rows.select(key, F.posexplode(chunks(F.col(seq), CHUNK, k - 1 + tail)).alias("_chunk", "_part"))
-    found = parts.select(key, "_chunk", F.posexplode(windows(F.col("_part"), k, tail)).alias("_at", "_window")).filter(F.col("_at") < CHUNK)
-    out = found.select(key, (F.col("_chunk") * CHUNK + F.col("_at")).alias("pos"), F.substring("_window", 1, k).alias("kmer"), *([F.substring("_window", k + 1, tail).alias("after")] if tail else []))
-    return out.filter(~F.col("kmer").rlike("[^ACGT]"))
+    text = rows.select(key, F.regexp_replace(seq, r"[^\x00-\x7f]", "N").cast("binary").alias("_text")).filter(F.length("_text") >= k)
+    parts = text.select(key, "_text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("_text") - k, F.lit(0)), F.lit(CHUNK))).alias("_start"))
+    part = F.substring("_text", F.col("_start") + 1, F.lit(CHUNK + k - 1 + tail))
+    parts = parts.select(key, "_start", part.alias("_part")).withColumn("_plain", ~F.col("_part").cast("string").rlike("[^ACGT]"))
+    last = F.least(F.length("_part") - k, F.lit(CHUNK - 1))
+    found = parts.select(key, "_start", "_part", "_plain", F.explode(F.sequence(F.lit(0), last, F.lit(1))).alias("_at"))
+    letters = lambda at, n: F.substring("_part", at + 1, F.lit(n)).cast("string")
+    more = [letters(F.col("_at") + k, tail).alias("after")] if tail else []
+    out = found.select(key, (F.col("_start") + F.col("_at")).alias("pos"), letters(F.col("_at"), k).alias("kmer"), *more, "_plain")
+    return out.filter(F.col("_plain") | ~F.col("kmer").rlike("[^ACGT]")).drop("_plain")
 
 
 def expand(kmers: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.params import Params
 from .align import Extension, extend, gapless_count, reach, reverse_path
 from .graph import Graph, graph_kmers
-from .seeds import counted_hits, drop_adjacent, query_kmers
+from .seeds import counted_hits, drop_adjacent, matched, query_kmers
 
 MOST_PATHS = 256
 WIDTH = 16  # letters of the gapless filter's window
@@ -272,7 +272,9 @@ def align(ref: Graph, reads: DataFrame, params: Params, filters: Callable[[DataF
         raise ValueError(f"the reference has {size} letters; {MOST_REFERENCE} can be sent to the workers")
     held = ref.spark.sparkContext.broadcast(_load(ref))
     kmers = graph_kmers(ref, p.k, both_strands=True)
-    query = query_kmers(reads, "read_ord", "seq", p.k)
+    # either side is reduced to what the other has and written down, so each is enumerated a fixed number of times
+    query = matched(query_kmers(reads, "read_ord", "seq", p.k), kmers)
+    kmers = matched(kmers, query)
     few = counted_hits(kmers, query).filter(F.col("hits") <= p.repeat)
     known = query.join(few, "kmer")
     seeds = known.join(kmers, "kmer").select("qid", "qpos", F.col("gid").alias("rid"), F.lit(0).alias("dir"), F.col("pos").alias("rpos"), "route")
@@ -313,6 +315,8 @@ def align_graph(ref: Graph, query: Graph, params: Params) -> DataFrame:
     held = spark.sparkContext.broadcast((_load(ref), _load(query)))
     kmers = graph_kmers(ref, p.k, both_strands=True)
     own = graph_kmers(query, p.k).select("kmer", F.col("gid").alias("qgid"), F.col("pos").alias("qpos"), F.col("route").alias("qroute"))
+    own = matched(own, kmers)
+    kmers = matched(kmers, own)
     few = counted_hits(kmers, own).filter(F.col("hits") <= p.repeat)
     seeds = own.join(few.select("kmer"), "kmer").join(kmers, "kmer").select("qgid", "qpos", "gid", "pos", "route", "qroute")
     rows = seeds.groupBy(F.lit(0).alias("one")).agg(F.array_sort(F.collect_list(F.struct("qgid", "qpos", "gid", "pos", "route", "qroute"))).alias("seeds"))
