@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -200,7 +201,7 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, alpha: float = ALPHA,
     a second reading of the corpus counts only words whose bit is set, whatever
     their number, so it ships a row per word and flush and no word list. A second
     filter marks texts that have copies: they ship their marked words instead,
-    and one of each text is counted.
+    and one of each text is counted, by task before anything is shuffled.
     """
     docs = documents(docs)
     seen = scanned.select("text_key", F.explode("near").alias("s")).select("s.term", "s.entity", "s.context", "text_key").distinct()
@@ -257,10 +258,20 @@ def disclosing_terms(scanned: DataFrame, docs: DataFrame, alpha: float = ALPHA,
                 yield flush()
         yield flush()
 
-    read = docs.select("text").mapInArrow(count, "terms array<string>, n long, text_key long")
-    once = read.filter("text_key is not null").groupBy("text_key").agg(F.first("terms").alias("terms")).select("terms", F.lit(1).cast("long").alias("n"))
-    n_t = read.filter("text_key is null").select("terms", "n").unionByName(once)
-    n_t = n_t.select(F.explode("terms").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_t"))
+    def tally(batches):
+        total: Counter[str] = Counter()
+        for b in batches:
+            total.update(b.column(0).flatten().to_pylist())
+            if len(total) > 200_000:
+                yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+                total.clear()
+        yield pa.RecordBatch.from_pydict({"term": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+
+    # written down, as both halves would read the corpus again
+    read = materialise(docs.select("text").mapInArrow(count, "terms array<string>, n long, text_key long"))
+    once = read.filter("text_key is not null").groupBy("text_key").agg(F.first("terms").alias("terms")).select("terms")
+    n_t = read.filter("text_key is null").select(F.col("terms")[0].alias("term"), "n").unionByName(once.mapInArrow(tally, "term string, n long"))
+    n_t = n_t.groupBy("term").agg(F.sum("n").alias("n_t"))
     n_e = seen.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     total = float(max(scanned.select("text_key").distinct().count(), 2))
     ic = F.log(F.lit(total) / F.col("n_e"))
