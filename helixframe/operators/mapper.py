@@ -11,17 +11,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import Params
-from .align import Extension, extend, gapless_count, reach, reverse_path
+from .align import Fill, Front, gapless_count, join_fronts, reach, reverse_path
 from .graph import Graph, graph_kmers
 from .seeds import counted_hits, drop_adjacent, matched, query_kmers
 
 MOST_PATHS = 256
+MOST_SECTIONS = 4096
 WIDTH = 16  # letters of the gapless filter's window
 
 Section = tuple[int, int, int, int, int, int, int]
@@ -42,15 +44,7 @@ class Sequences:
 
         Best-first in length; more than ``MOST_PATHS`` at once raise an error rather than go missing.
         """
-        return self._walk([], "", gid, pos, reach)
-
-    def further(self, parts: list[tuple[int, int, int]], text: str, reach: int) -> list[tuple[list[tuple[int, int, int]], str]]:
-        """The paths of ``reach`` letters (or to their end) that go on from one of :meth:`paths`."""
-        g, at, n = parts[-1]
-        return self._walk(parts[:-1], text[: len(text) - n], g, at, reach)
-
-    def _walk(self, parts, text, gid, pos, reach):
-        done, todo = [], [(parts, text, gid, pos)]
+        done, todo = [], [([], "", gid, pos)]
         while todo:
             parts, text, g, at = todo.pop(0)
             own = self.seq[g][at : at + reach - len(text)]
@@ -116,6 +110,61 @@ def _flip(parts: list[tuple[int, int, int]], seq: dict[int, str]) -> list[tuple[
     return [(g ^ 1, len(seq[g]) - at - n, n) for g, at, n in reversed(parts)]
 
 
+def _fill_paths(ref: Sequences, rg: int, rp: int, btext: str, p: Params) -> Fill:
+    """``btext`` filled along all reference paths from a place; none along a path whose first window fails the gapless filter.
+
+    Sections are taken in order of the letters before them. Paths that wait before the same section go on as one, so a
+    row of bubbles costs as much as its sections, not as its paths.
+    """
+    most = reach(len(btext), p)
+    if p.ge == 0 or p.xdrop < 0:  # a cycle could be followed for ever; between two letters of b one round is enough
+        most = min(most, (len(btext) + 1) * (sum(map(len, ref.seq.values())) + 1))
+    fill = Fill(btext, p)
+    waiting: dict[tuple[int, int], Front] = {}
+    order: list[tuple[int, int, int]] = []
+
+    def wait(g: int, at: int, front: Front) -> None:
+        held = waiting.get((g, at))
+        waiting[g, at] = join_fronts(held, front) if held else front
+        heappush(order, (front.at, g, at))
+
+    begun: dict[tuple, Front | None] = {(): fill.root()}
+    for parts, text in ref.paths(rg, rp, WIDTH + 1):
+        if min(len(text), len(btext)) >= WIDTH and gapless_count(text, btext, WIDTH) <= p.gapless:
+            continue
+        for i, (g, at, n) in enumerate(parts[:-1]):
+            before, key = begun[tuple(parts[:i])], tuple(parts[: i + 1])
+            if key not in begun:
+                begun[key] = before and fill.grow(before, ref.seq[g][at : at + n], (g, at))
+        front = begun[tuple(parts[:-1])]
+        if front:
+            wait(*parts[-1][:2], front)
+    while order:
+        _, g, at = heappop(order)
+        front = waiting.pop((g, at), None)
+        if front is None:
+            continue  # went on with another
+        if len(fill.stretches) >= MOST_SECTIONS:
+            raise ValueError(f"an extension from section {rg} passes more than {MOST_SECTIONS} sections")
+        front = fill.grow(front, ref.seq[g][at : at + most - front.at], (g, at))
+        if front and front.at < most:
+            for s in ref.succ.get(g, []):
+                wait(s, 0, front)
+    return fill
+
+
+def _best(ref: Sequences, query: Sequences, rg: int, rp: int, qg: int, qp: int, p: Params):
+    """Best extension over all paths from a place on both sides: score, path, and the parts it takes of either."""
+    found = None
+    for bparts, btext in query.paths(qg, qp, 1 << 30):
+        fill = _fill_paths(ref, rg, rp, btext, p)
+        if found is None or fill.score > found[0].score:
+            found = fill, bparts
+    fill, bparts = found
+    path, passed, blen = fill.trace()
+    return fill.score, path, [(g, at, n) for (g, at), n in passed], _trim(bparts, blen)
+
+
 def _trim(parts: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
     out = []
     for g, at, size in parts:
@@ -126,38 +175,6 @@ def _trim(parts: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int
     return out
 
 
-def _best(ref: Sequences, query: Sequences, rg: int, rp: int, qg: int, qp: int, p: Params):
-    """Best extension over all paths from a place on both sides; none along a path whose first window fails the gapless filter.
-
-    Reference paths are followed on, twice as far each time, while the X-drop leaves cells open where they end.
-    """
-    found = None
-    slack = max(p.xdrop, 0) // max(p.ge, 1) + 1
-    for bparts, btext in query.paths(qg, qp, 1 << 30):
-        most = reach(len(btext), p)
-        if p.ge == 0 or p.xdrop < 0:  # a cycle could be followed for ever; between two letters of b one round is enough
-            most = min(most, (len(btext) + 1) * (sum(map(len, ref.seq.values())) + 1))
-        todo = ref.paths(rg, rp, min(most, len(btext) + slack))[::-1]
-        seen = 0
-        while todo:
-            aparts, atext = todo.pop()
-            if min(len(atext), len(btext)) >= WIDTH and gapless_count(atext, btext, WIDTH) <= p.gapless:
-                e = Extension(0, 0, 0, "", False)  # the first window does not look alike: nothing is extended
-            else:
-                e = extend(atext, btext[: reach(len(atext), p)], p)
-            if e.open and len(atext) < most:
-                grown = ref.further(aparts, atext, min(most, 2 * (len(atext) + slack)))
-                if len(grown) > 1 or len(grown[0][1]) > len(atext):
-                    todo += grown[::-1]
-                    if seen + len(todo) > MOST_PATHS:
-                        raise ValueError(f"more than {MOST_PATHS} paths within reach of section {rg}")
-                    continue
-            seen += 1
-            if found is None or e.score > found[0].score:
-                found = (e, _trim(aparts, e.alen), _trim(bparts, e.blen))
-    return found
-
-
 def _seed_parts(side: Sequences, gid: int, pos: int, route: list[int] | None, k: int) -> list[tuple[int, int, int]]:
     out = []
     for n, g in enumerate([gid, *(route or [])]):
@@ -177,14 +194,14 @@ def extend_seed(ref: Sequences, query: Sequences, rg: int, rp: int, qg: int, qp:
     (g, at, size), (h, bt, bsize) = seed_a[-1], seed_b[-1]
     fw = _best(ref, query, g, at + size, h, bt + bsize, p)
     rv = _best(ref, query, rg ^ 1, len(ref.seq[rg]) - rp, qg ^ 1, len(query.seq[qg]) - qp, p)
-    if fw[0].score + rv[0].score <= p.score:
+    if fw[0] + rv[0] <= p.score:
         return None
-    path = reverse_path(rv[0].path) + "DR" * p.k + fw[0].path
-    a = _flip(rv[1], ref.seq) + seed_a + fw[1]
-    b = _flip(rv[2], query.seq) + seed_b + fw[2]
+    path = reverse_path(rv[1]) + "DR" * p.k + fw[1]
+    a = _flip(rv[2], ref.seq) + seed_a + fw[2]
+    b = _flip(rv[3], query.seq) + seed_b + fw[3]
     join = lambda parts: [x for x in _merged(parts) if x[2]]
     sections = cut_sections(path, join(a), join(b))
-    return Result(fw[0].score + rv[0].score + p.m * p.k, path, sections, _track(sections, path))
+    return Result(fw[0] + rv[0] + p.m * p.k, path, sections, _track(sections, path))
 
 
 def _merged(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

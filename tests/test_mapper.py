@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from helixframe.functions.nucleotide import cigar
 from helixframe.functions.params import Params
 from helixframe.operators import graph as G
 from helixframe.operators import mapper as M
-from helixframe.operators.align import rescore
+from helixframe.operators.align import extend, rescore
 from helixframe.operators.ordering import numbered
 from helixframe.streaming.drain import drain, parallel
 
@@ -137,6 +138,82 @@ def test_several_gaps_beyond_the_xdrop(cuts):
     assert on_read.score >= want and rescore(on_read.path, b, a, p) == on_read.score
 
 
+def flip(s):
+    return s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+
+
+def bubbles(parts):
+    """A reference of sections that part and meet again: each item lists the texts between which a path chooses."""
+    seq, succ, ends = {}, {}, []
+    for choice in parts:
+        own = [len(seq) + 2 * i for i in range(len(choice))]
+        for g_, text in zip(own, choice):
+            seq[g_], seq[g_ + 1] = text, flip(text)
+        for e in ends:
+            succ[e] = own
+        for o in own:
+            succ[o + 1] = [e + 1 for e in ends]
+        ends = own
+    return M.Sequences(seq, succ)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_bubbles_against_all_paths(seed):
+    """Fronts that meet go on as one: the score is that of the best of all paths, the path gives it."""
+    r = random.Random(seed)
+    text = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    parts = [[text(20)]]
+    for _ in range(5):
+        parts += [[text(r.choice((1, 1, 2, 6))) for _ in range(r.choice((2, 3)))], [text(r.randrange(1, 12))]]
+    paths = ["".join(x) for x in itertools.product(*parts)]
+    read = list(r.choice(paths) + text(10))
+    for _ in range(seed):
+        i = r.randrange(14, len(read))
+        read[i : i + r.randrange(2)] = text(r.randrange(3))
+    read = "".join(read)
+    p = Params(k=14, score=1, m=1, x=r.choice((1, 2)), gi=r.choice((1, 2)), ge=1, xdrop=30, gapless=-1).resolved()
+    got = M.extend_seed(bubbles(parts), M.Sequences({0: read, 1: flip(read)}, {}), 0, 0, 0, 0, p)
+    assert got.score == 14 + max(extend(x[14:], read[14:], p).score for x in paths)
+    taken = "".join(bubbles(parts).seq[s[0]][s[2] : s[2] + s[4]] for s in got.sections)
+    assert rescore(got.path, taken, read, p) == got.score and sum(s[4] + s[5] for s in got.sections) == len(got.path)
+
+
+def test_many_bubbles():
+    """2^60 paths: work grows with the sections. The one that the read took is found, and is whole on the other strand too."""
+    r = random.Random(2)
+    text = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    parts = [[text(30)]]
+    for _ in range(60):
+        parts += [["A", "C"], [text(9)]]
+    read = "".join(r.choice(c) for c in parts)
+    ref = bubbles(parts)
+    p = Params(k=14, score=1).resolved()
+    got = M.extend_seed(ref, M.Sequences({0: read, 1: flip(read)}, {}), 0, 0, 0, 0, p)
+    assert (got.score, got.path) == (len(read), "DR" * len(read))
+    assert "".join(ref.seq[s[0]][s[2] : s[2] + s[4]] for s in got.sections) == read
+    back = M.extend_seed(ref, M.Sequences({0: flip(read), 1: read}, {}), max(ref.seq), 0, 0, 0, Params(k=9, score=1).resolved())
+    assert back.score == len(read)
+
+
+def test_paths_that_fail_the_first_window_go_missing_alone():
+    """Of two branches within the first window only the one that looks alike is followed."""
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    seed, tail = text(14), text(60)
+    ref = bubbles([[seed], ["A" * 17, tail[:17]], [tail[17:]]])
+    read = seed + tail
+    got = M.extend_seed(ref, M.Sequences({0: read, 1: flip(read)}, {}), 0, 0, 0, 0, Params(k=14, score=1).resolved())
+    assert got.path == "DR" * 74 and [s[0] for s in got.sections] == [0, 4, 6]
+
+
+def test_cycles_end():
+    unit = "ACGTTGCATTACGGATCCAG"
+    ref = M.Sequences({0: unit, 1: flip(unit)}, {0: [0], 1: [1]})
+    read = unit * 6
+    got = M.extend_seed(ref, M.Sequences({0: read, 1: flip(read)}, {}), 0, 0, 0, 0, Params(k=14, score=1).resolved())
+    assert (got.score, len(got.sections)) == (120, 6)
+
+
 def test_upkeep_of_results():
     make = lambda a, b, score: M.Result(score, "", [], [(q, 0, q + 10) for q in range(a, b)])
     found = []
