@@ -8,6 +8,7 @@ as far as an extension can reach.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -63,14 +64,14 @@ class Result:
     score: int
     path: str
     sections: list[Section]
-    #: (qpos, place on the reference) along the alignment, for the band test
-    track: list[tuple[int, int, int]] = field(default_factory=list)
+    #: (place on the query, rgid, rpos, section) along the alignment, for the band test
+    track: list[tuple[int, int, int, int]] = field(default_factory=list)
 
     @cached_property
-    def by_place(self) -> dict[int, list[tuple[int, int]]]:
-        out: dict[int, list[tuple[int, int]]] = {}
-        for q, g, r in self.track:
-            out.setdefault(q, []).append((g, r))
+    def by_place(self) -> dict[int, list[tuple[int, int, int]]]:
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for q, g, r, section in self.track:
+            out.setdefault(q, []).append((g, r, section))
         return out
 
 
@@ -214,14 +215,14 @@ def _merged(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _track(sections: list[Section], path: str) -> list[tuple[int, int, int]]:
-    """``(place, rgid, rpos)`` at each query letter of the path; a place is the query's gid and position in one number."""
+def _track(sections: list[Section], path: str) -> list[tuple[int, int, int, int]]:
+    """``(place, rgid, rpos, section)`` at each query letter of the path; a place is the query's gid and position in one number."""
     out = []
-    for aid, bid, apos, bpos, alen, blen, ppos in sections:
+    for n, (aid, bid, apos, bpos, alen, blen, ppos) in enumerate(sections):
         r, q = apos, place(bid, bpos)
         for c in path[ppos : ppos + alen + blen]:
             if c == "D":
-                out.append((q, aid, r))
+                out.append((q, aid, r, n))
                 q += 1
             else:
                 r += 1
@@ -234,24 +235,69 @@ def place(gid: int, pos: int) -> int:
 
 def covered(results: list[Result], q: int, g: int, r: int, width: int) -> bool:
     """Whether a result passes within the band of a seed at the seed's query position."""
-    return any(g == tg and 0 <= t + width - r < 2 * width for res in results for tg, t in res.by_place.get(q, ()))
+    return any(g == tg and 0 <= t + width - r < 2 * width for res in results for tg, t, _ in res.by_place.get(q, ()))
 
 
-def upsert(results: list[Result], new: Result) -> None:
-    """Add a result, or settle it with one that runs over the same place.
+def _begin(s: Section) -> tuple[int, ...]:
+    aid, bid, apos, bpos, _, _, _ = s
+    return aid, bid, apos, bpos
 
-    Of two that share both ends' order the longer wins; with equal ends the score
-    decides, the new one winning ties; where each goes on past the other on one
-    side the old one is kept.
+
+def _end(s: Section) -> tuple[int, ...]:
+    aid, bid, apos, bpos, alen, blen, _ = s
+    return aid, bid, apos + alen, bpos + blen
+
+
+def compare(x: list[Section], y: list[Section], edge: Callable[[Section], tuple[int, ...]]) -> tuple[int, int]:
+    """Which of two rows of sections is longer (1: ``x``, -1: ``y``, 0: neither), and how many edges they share from the first on.
+
+    The longer has more sections; with as many, the longer path in the first section whose edges differ.
     """
-    spots = set(new.track)
+    more = len(x) - len(y)
+    for n, (s, t) in enumerate(zip(x, y)):
+        if edge(s) != edge(t):
+            more = more or s[4] + s[5] - t[4] - t[5]
+            return (more > 0) - (more < 0), n
+    return (more > 0) - (more < 0), min(len(x), len(y))
+
+
+# What becomes of a new result, by which is longer at the head and at the tail (1: the new one).
+OUTCOME = {
+    (-1, -1): "next", (-1, 0): "old", (-1, 1): "new",
+    (0, -1): "old", (0, 0): "old", (0, 1): "better",
+    (1, -1): "old", (1, 0): "better", (1, 1): "better",
+}
+
+
+def settle(results: list[Result], new: Result, q: int, g: int, r: int, width: int) -> None:
+    """Add the result that a seed at (``q``, ``g``, ``r``) has led to, or settle it with one that runs beside it.
+
+    First come the results whose places on the reference at the seed's query position are nearest, that to the right
+    before that to the left. One that shares neither edge of the new one's section through the seed has nothing to do
+    with it; else ``OUTCOME`` says which stays, and "better" replaces the old one unless its score is higher. Then come
+    results with a section that begins where the seed's section begins: one that does not begin later is replaced. What
+    nothing settles is added.
+    """
+    root = next((n for p, tg, t, n in new.track if (p, tg, t) == (q, g, r)), 0)
+    near = sorted((tg, t + width, i, n) for i, old in enumerate(results) for tg, t, n in old.by_place.get(q, ()))
+    k = bisect_left(near, (g, r))
+    for _, _, i, n in near[k : k + 1] + near[max(k - 1, 0) : k]:
+        old = results[i]
+        head, heads = compare(new.sections[root::-1], old.sections[n::-1], _begin)
+        tail, tails = compare(new.sections[root:], old.sections[n:], _end)
+        if not heads and not tails:
+            continue
+        outcome = OUTCOME[head, tail]
+        if outcome == "new" or outcome == "better" and old.score <= new.score:
+            results[i] = new
+        elif outcome != "old":
+            continue
+        return
     for i, old in enumerate(results):
-        if not spots.isdisjoint(old.track):
-            head = (new.track[0] < old.track[0]) - (new.track[0] > old.track[0])
-            tail = (new.track[-1] > old.track[-1]) - (new.track[-1] < old.track[-1])
-            if head >= 0 and tail >= 0 and (head or tail or new.score >= old.score):
+        for n, s in enumerate(old.sections):
+            if _begin(s) == _begin(new.sections[root]) and compare(new.sections[root::-1], old.sections[n::-1], _begin)[0] <= 0:
                 results[i] = new
-            return
+                return
     results.append(new)
 
 
@@ -263,7 +309,7 @@ def align_read(ref: Sequences, query: Sequences, seeds: list[tuple], p: Params)
             continue
         new = extend_seed(ref, query, rg, rp, qg, qp, p, route, *qroute)
         if new is not None:
-            upsert(results, new)
+            settle(results, new, place(qg, qp), rg, rp, p.overlap)
     return results
 
 

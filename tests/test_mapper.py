@@ -214,20 +214,56 @@ def test_cycles_end():
     assert (got.score, len(got.sections)) == (120, 6)
 
 
-def test_upkeep_of_results():
-    make = lambda a, b, score: M.Result(score, "", [], [(q, 0, q + 10) for q in range(a, b)])
-    found = []
-    M.upsert(found, make(10, 20, 5))
-    M.upsert(found, make(10, 20, 4))
-    assert [r.score for r in found] == [5]
-    M.upsert(found, make(10, 20, 5))
-    M.upsert(found, make(5, 25, 3))
-    assert [r.score for r in found] == [3]
-    M.upsert(found, make(10, 30, 9))  # goes on past the other on one side only
-    assert [r.score for r in found] == [3]
-    M.upsert(found, M.Result(1, "", [], [(q, 2, q) for q in range(3)]))
-    assert len(found) == 2
-    assert M.covered(found, 10, 0, 20, 48) and not M.covered(found, 10, 0, 200, 48) and not M.covered(found, 99, 0, 109, 48)
+def result(score, *sections):
+    """A result of gapless sections ``(aid, apos, bpos, length)`` on query 0."""
+    rows, at = [], 0
+    for aid, apos, bpos, n in sections:
+        rows.append((aid, 0, apos, bpos, n, n, at))
+        at += 2 * n
+    return M.Result(score, "DR" * (at // 2), rows, M._track(rows, "DR" * (at // 2)))
+
+
+def settled(old, new, q, r=None, g=0, width=4):
+    """Which results stay, as numbers: 0 the old one, 1 the new one; the seed lies at query place ``q`` of the new one."""
+    r = next(t[2] for t in new.track if t[0] == q) if r is None else r
+    results = [old]
+    M.settle(results, new, q, g, r, width)
+    return [[old, new].index(x) for x in results]
+
+
+def test_upkeep_by_head_and_tail():
+    old = result(20, (0, 10, 10, 30))  # 10 to 40 on both
+    far = lambda score, apos, bpos, n: result(score, (0, apos, bpos, n))
+    # neither edge shared: both stay, whatever the scores
+    assert settled(old, far(99, 5, 5, 40), 20) == settled(old, far(1, 100, 15, 20), 20) == [0, 1]
+    # one edge shared, longer on the other: the new one unless its score is lower, which leaves both
+    assert settled(old, far(20, 5, 5, 35), 20) == settled(old, far(20, 10, 10, 35), 20) == [1]
+    # equal head and a longer tail but lower score: nearest results leave it; its section begins where the old one's does
+    assert settled(old, far(19, 10, 10, 35), 20) == [1] and settled(old, far(19, 5, 5, 35), 20) == [0, 1]
+    # one edge shared, shorter on the other; both shared
+    assert settled(old, far(99, 10, 10, 20), 20) == settled(old, far(99, 20, 20, 20), 25) == settled(old, far(99, 10, 10, 30), 20) == [0]
+
+
+def test_upkeep_over_sections():
+    old = result(20, (0, 5, 0, 10), (2, 0, 10, 10), (4, 0, 20, 10))
+    parts = ((0, 5, 0, 10), (2, 0, 10, 10), (4, 0, 20, 10))
+    assert settled(old, result(20, *parts, (6, 0, 30, 5)), 12, g=2) == [1]  # goes on into one more section
+    assert settled(old, result(20, *parts[1:]), 12, g=2) == [0] and settled(old, result(20, *parts[:2]), 12, g=2) == [0]
+    # longer at the tail, shorter at the head: the new one; the other way round: the old one
+    assert settled(old, result(1, *parts[1:], (6, 0, 30, 5)), 12, g=2) == [1]
+    assert settled(result(1, *parts[1:], (6, 0, 30, 5)), old, 12, g=2) == [0]
+    assert M.compare(old.sections, old.sections[:2], M._end) == (1, 2) and M.compare([], old.sections, M._end) == (-1, 0)
+
+
+def test_nearest_results_and_the_band():
+    beside = [result(5, (0, 100, 0, 30)), result(5, (0, 300, 0, 30))]
+    assert M.covered(beside, 10, 0, 112, 4) and not M.covered(beside, 10, 0, 115, 4) and not M.covered(beside, 99, 0, 199, 4)
+    M.settle(beside, result(5, (0, 200, 0, 30)), 10, 0, 210, 4)
+    assert [x.sections[0][2] for x in beside] == [100, 300, 200]
+    # nothing runs at the seed's place, but a section begins where the seed's does
+    short = [result(5, (0, 50, 0, 8))]
+    M.settle(short, result(2, (0, 50, 0, 30)), 20, 0, 70, 4)
+    assert [x.score for x in short] == [2]
 
 
 def test_too_many_paths_is_an_error():
