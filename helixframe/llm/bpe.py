@@ -11,20 +11,28 @@ of queue steps a merge.
 
 Ids of pieces met before are looked up in a table of bounded size.
 
-Nulls: a null text is an empty one, with no ids. Repeated rows give repeated
-result rows.
+Split patterns are read with the letters, numbers and blanks of the Unicode
+version that the tiktoken library has, whatever version ``regex`` has: where the
+two differ, a stand-in of the same kind takes the character's place while pieces
+are cut. (Classes other than ``\\p{L}``, ``\\p{N}`` and ``\\s`` are left to ``regex``.)
+
+Nulls: a null text is an empty one, with no ids. Texts may be of any length, an
+empty table gives no rows. Repeated rows give repeated result rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import documents, map_texts
@@ -34,6 +42,47 @@ CACHE = 500_000  # pieces in each of two generations
 PAIRS = 1_000_000
 
 
+#: a character of each kind for a split pattern, and one of none of them
+STAND_IN = {r"\p{L}": "z", r"\p{N}": "0", r"\s": "\t"}
+NO_KIND = "!"
+
+
+@lru_cache(1)
+def newer_characters() -> dict[int, str]:
+    """Code points that ``regex`` and the tiktoken library put in different kinds, with a stand-in of the library's kind."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    single = {bytes([b]): b for b in range(256)}
+    odd, kinds = set(), {}
+    for kind, stand_in in STAND_IN.items():
+        # with a pattern that is one class, the library's ids are the bytes of the class's characters
+        library = tiktoken.Encoding(kind, pat_str=kind, mergeable_ranks=single, special_tokens={})
+        theirs = set(bytes(library.encode_ordinary(every)).decode())
+        odd |= theirs ^ set(regex.findall(kind, every))
+        kinds |= dict.fromkeys(theirs, stand_in)
+    return {ord(c): kinds.get(c, NO_KIND) for c in odd}
+
+
+def finder(points: Iterable[int]) -> Callable[[str], object]:
+    """Whether a text has one of these code points, by a class of ranges; texts below the least of them are told at once."""
+    runs: list[list[int]] = []
+    for c in sorted(points):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    if not runs:
+        return lambda text: None
+    spell = lambda a, b: rf"\U{a:08x}-\U{b:08x}"
+    beyond = re.compile(f"[{spell(runs[0][0], 0x10FFFF)}]").search
+    one_of = re.compile("[" + "".join(spell(a, b) for a, b in runs) + "]").search
+
+    def find(text: str) -> object:
+        first = beyond(text)
+        return first and one_of(text, first.start())
+
+    return find
+
+
 class RankQueue:
     """Buckets by merge rank under a three-level bitmap; up to 64**3 ranks."""
 
@@ -81,6 +130,8 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.size = max(self.ranks.values()) + 1
         self.split = regex.compile(pattern)
+        self.newer = newer_characters()
+        self.has_newer = finder(self.newer)
         self.bytes_id = [self.ranks[bytes([b])] for b in range(256)]
         self.queue = RankQueue(self.size)
         self.known = Recent(CACHE, self._packed)
@@ -152,7 +203,13 @@ class Codec:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if len(self.pairs) > PAIRS:
             self.pairs.clear()  # between texts only: a queue in use relies on them
-        return b"".join(map(self.known.__getitem__, self.split.findall(text)))
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
+
+    def pieces(self, text: str) -> list[str]:
+        """The matches of the split pattern."""
+        if text.isascii() or not self.has_newer(text):
+            return self.split.findall(text)
+        return [text[slice(*m.span())] for m in self.split.finditer(text.translate(self.newer))]
 
     def decode(self, packed: bytes) -> bytes:
         """Bytes of ids packed by :meth:`encode`."""

@@ -60,6 +60,18 @@ def test_bpe_equals_the_library(codec, official, rows):
         assert codec.decode(packed) == t.encode()
 
 
+def test_every_character_is_split_as_in_the_library(codec, official):
+    """Each code point beside a letter, a number, a blank, a mark and its like; newer ones than the library knows included."""
+    newer = sorted(bpe.newer_characters())
+    every = [*range(0xD800), *range(0xE000, 0x110000)]
+    for step in (every[:0x3100:3], every[0x3100::97], newer):
+        for c in map(chr, step):
+            t = f"a{c}b 1{c}2 {c}  {c}{c}! {c}'s"
+            assert np.frombuffer(codec.encode(t), "<u4").tolist() == official.encode_ordinary(t), hex(ord(c))
+    t = "".join(map(chr, newer)) * 2
+    assert codec.decode(codec.encode(t)) == t.encode()
+
+
 def test_rank_queue():
     g, q, want = random.Random(4), bpe.RankQueue(50_256), defaultdict(list)
     for _ in range(500):
