@@ -15,17 +15,20 @@ from functools import cached_property
 from heapq import heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.params import Params
+from ..functions.storage import checkpoint
+from . import screen
 from .align import Fill, Front, gapless_count, join_fronts, reach, reverse_path
 from .graph import Graph, graph_kmers
 from .seeds import counted_hits, drop_adjacent, matched, query_kmers
 
 MOST_PATHS = 256
 MOST_SECTIONS = 4096
-WIDTH = 16  # letters of the gapless filter's window
+WIDTH = screen.WIDTH
 
 Section = tuple[int, int, int, int, int, int, int]
 """aid, bid, apos, bpos, alen, blen, ppos."""
@@ -321,19 +324,23 @@ def _load(graph: Graph) -> Sequences:
 
 
 MOST_REFERENCE = 1 << 28
+MOST_INDEXED = 1 << 21
 
 
-def align(ref: Graph, reads: DataFrame, params: Params, filters: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``read_ord, ordinal, score, path, sections`` of reads (``read_ord, seq``) on a reference graph.
+def _index(ref: Graph, held: Sequences, size: int, p: Params) -> screen.Index | None:
+    """K-mers of the reference that occur ``p.repeat`` times at most, for the workers; None where there are more than ``MOST_INDEXED`` in all."""
+    if 2 * size > MOST_INDEXED:
+        return None
+    kmers = checkpoint(graph_kmers(ref, p.k, both_strands=True))
+    if kmers.count() > MOST_INDEXED:
+        return None
+    few = kmers.groupBy("kmer").agg(F.count("*").alias("hits")).filter(F.col("hits") <= p.repeat)
+    rows = kmers.join(few, "kmer", "left_semi").select("kmer", "gid", "pos", "route").toArrow()
+    return screen.Index.build(rows, held.seq, held.succ, p.k)
 
-    The graph's text goes to every worker, so it may have ``MOST_REFERENCE``
-    letters at most (checked). Query sections are numbered 0 (forward) and 1.
-    """
-    p = params.resolved()
-    size = ref.total_length().first()["total_len"]
-    if size > MOST_REFERENCE:
-        raise ValueError(f"the reference has {size} letters; {MOST_REFERENCE} can be sent to the workers")
-    held = ref.spark.sparkContext.broadcast(_load(ref))
+
+def _joined(ref: Graph, reads: DataFrame, p: Params, filters: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """``qid, seq, seeds`` by joins of k-mers, for references of any size."""
     kmers = graph_kmers(ref, p.k, both_strands=True)
     # either side is reduced to what the other has and written down, so each is enumerated a fixed number of times
     query = matched(query_kmers(reads, "read_ord", "seq", p.k), kmers)
@@ -346,22 +353,49 @@ def align(ref: Graph, reads: DataFrame, params: Params, filters: Callable[[DataF
     if filters is not None:
         seeds = filters(seeds)
     rows = seeds.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("qpos", "rid", "rpos", "route"))).alias("seeds"))
-    rows = rows.join(reads.select(F.col("read_ord").alias("qid"), "seq"), "qid").select("qid", "seq", "seeds")
+    return rows.join(reads.select(F.col("read_ord").alias("qid"), "seq"), "qid").select("qid", "seq", "seeds")
+
+
+def align(ref: Graph, reads: DataFrame, params: Params, filters: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``read_ord, ordinal, score, path, sections`` of reads (``read_ord, seq``) on a reference graph.
+
+    The graph's text goes to every worker, so it may have ``MOST_REFERENCE``
+    letters at most (checked). So do its k-mers up to ``MOST_INDEXED``: reads then
+    find their seeds where they are read. Those of larger references, and seeds
+    that ``filters`` takes as a frame, come from joins. Query sections are numbered
+    0 (forward) and 1.
+    """
+    p = params.resolved()
+    spark = ref.spark
+    size = ref.total_length().first()["total_len"]
+    if size > MOST_REFERENCE:
+        raise ValueError(f"the reference has {size} letters; {MOST_REFERENCE} can be sent to the workers")
+    graph = _load(ref)
+    held = spark.sparkContext.broadcast(graph)
+    index = _index(ref, graph, size, p) if filters is None else None
+    if index is None:
+        rows = _joined(ref, reads, p, filters)
+    else:
+        sent = spark.sparkContext.broadcast(index)
+        rows = reads.select("read_ord", "seq")
+        rows = rows.mapInArrow(lambda batches: screen.found(sent.value, batches, p), f"qid {dict(rows.dtypes)['read_ord']}, {screen.SEEDS}")
     # small rows, much work: spread by a fixed count, which the engine does not merge again
-    rows = rows.repartition(4 * ref.spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
 
     def run(batches):
+        names = ("aid", "bid", "apos", "bpos", "alen", "blen", "ppos")
+        section = pa.struct([(n, pa.int32()) for n in names])
+        kinds = (("read_ord", pa.int64()), ("ordinal", pa.int32()), ("score", pa.int64()), ("path", pa.string()), ("sections", pa.list_(section)))
         for b in batches:
             out = []
-            for read, seq, own in zip(b["qid"], b["seq"], b["seeds"]):
-                flip = str.maketrans("ACGTRYKMBVDH", "TGCAYRMKVBHD")
-                query = Sequences({0: seq.upper(), 1: seq.upper().translate(flip)[::-1]}, {})
-                found = align_read(held.value, query, [(0, s["qpos"], s["rid"], s["rpos"], list(s["route"])) for s in own], p)
-                names = ("aid", "bid", "apos", "bpos", "alen", "blen", "ppos")
-                out += [(read, i, r.score, r.path, [dict(zip(names, s)) for s in r.sections]) for i, r in enumerate(found)]
-            yield pd.DataFrame(out, columns=["read_ord", "ordinal", "score", "path", "sections"])
-
-    return rows.mapInPandas(run, ALIGNMENT)
+            for row in b.to_pylist():
+                seq = row["seq"].encode("ascii", "replace").decode().upper()  # a letter stays one letter
+                query = Sequences({0: seq, 1: seq.translate(screen.FLIP)[::-1]}, {})
+                found = align_read(held.value, query, [(0, s["qpos"], s["rid"], s["rpos"], s["route"]) for s in row["seeds"]], p)
+                out += [(row["qid"], i, r.score, r.path, [dict(zip(names, s)) for s in r.sections]) for i, r in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
+
+    return rows.mapInArrow(run, ALIGNMENT)
 
 
 def align_graph(ref: Graph, query: Graph, params: Params) -> DataFrame:
