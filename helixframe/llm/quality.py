@@ -11,9 +11,8 @@ whole). A document's score is the mean log-ratio of its n-grams, so that length
 cancels, and it is kept when the score reaches a fixed quantile of the trusted
 rows' own scores less a margin; that threshold is the same for all documents.
 
-``TARGET_ROWS`` bounds the labelled rows that fit the target (those with the
-least hash of their id); the corpus side has no bound. With no trusted row the
-base rules alone decide.
+All rows count: every trusted row fits the target and has its share in the
+quantile, which is exact. With no trusted row the base rules alone decide.
 
 Nulls: a null text has no words and fails; null labels are not trusted. Repeated
 rows count repeatedly, and equal lines after the first are duplicates.
@@ -28,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, filter_texts, map_texts, slices
+from .common import documents, filter_texts, map_texts, materialise, slices
+from .ngramjoin import only
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
 ORDERS = (2, 3)
 BUCKETS = 1 << 16
-TARGET_ROWS = 20_000
+BLOCK = 1 << 10
 QUANTILE = 0.001
 MARGIN = 0.15
+ACCURACY = 100_000  # of the bounds between which the quantile is looked for
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = "#*$%&|<>"
@@ -97,41 +98,76 @@ def ngrams(text: str) -> np.ndarray:
 
 
 def target_ids(labels: DataFrame) -> DataFrame:
-    """Ids of trusted rows: quality 1, at most ``TARGET_ROWS`` of them, those with the least hash."""
-    ids = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_trusted")).distinct()
-    return ids.orderBy(F.xxhash64("_trusted"), "_trusted").limit(TARGET_ROWS)
+    """``doc_id`` of trusted rows: all of quality 1."""
+    return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, trusted``; the id list is bounded by ``TARGET_ROWS``, so it is broadcast."""
-    ids = F.broadcast(target_ids(labels))
-    docs = documents(docs)
-    return docs.join(ids, docs["doc_id"] == ids["_trusted"], "left").select("doc_id", "text", F.col("_trusted").isNotNull().alias("trusted"))
+def _blocks(total: np.ndarray) -> pa.RecordBatch:
+    """Non-empty buckets and their counts, one row a block of ``BLOCK`` buckets."""
+    at = np.flatnonzero(total)
+    block, first = np.unique(at // BLOCK, return_index=True)
+    ends = pa.array(np.append(first, len(at)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(at, pa.int32()), pa.array(total[at], pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *lists], ["block", "at", "n"])
+
+
+def counted(texts: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in the ``text`` of all rows; a task sends one row a block, and so does each sum to the driver."""
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in slices(batches):
+            for text in b.column(0).to_pylist():
+                n = np.bincount(ngrams(text))
+                total[: len(n)] += n
+        yield _blocks(total)
+
+    def add(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            np.add.at(total, b.column("at").flatten().to_numpy(), b.column("n").flatten().to_numpy())
+        yield _blocks(total)
+
+    schema = "block int, at array<int>, n array<long>"
+    sums = texts.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+    out = np.zeros(BUCKETS)
+    for r in sums.collect():
+        out[r["at"]] = r["n"]
+    return out
+
+
+def quantile(scores: DataFrame, share: float) -> float | None:
+    """The least ``score`` that at least ``share`` of the rows do not exceed, exactly; None without rows.
+
+    Approximate quantiles to either side bound it; the driver gets the different
+    scores between them, a few ``ACCURACY``-ths of the rows.
+    """
+    width = 2 / ACCURACY
+    while True:
+        near = F.percentile_approx("score", [max(share - width, 0.0), min(share + width, 1.0)], ACCURACY)
+        total, near = scores.agg(F.count("score"), near).first()
+        if not total:
+            return None
+        below = scores.filter(F.col("score") < near[0]).count()
+        if below < share * total:
+            for score, n in sorted(scores.filter(F.col("score").between(*near)).groupBy("score").count().collect()):
+                below += n
+                if below >= share * total:
+                    return score
+        width *= 2  # a bound was off by more than its accuracy
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     """Log-ratio of each bucket and the threshold; None without a trusted row.
 
-    Tasks send their non-empty buckets; the driver gets one row a bucket, and then
-    the scores of the trusted rows, which ``TARGET_ROWS`` bounds for unique ids.
+    Only texts of rows that may be trusted are shuffled, once, for the join that
+    decides; for the threshold their scores are joined instead. The ids are as many
+    as the labels, so they are never broadcast.
     """
-    rows = _marked(docs, labels)
-
-    def count(batches):
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in slices(batches):
-            for text, trusted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = np.bincount(ngrams(text), minlength=0)
-                raw[: len(n)] += n
-                if trusted:
-                    target[: len(n)] += n
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "raw": pa.array(raw[at]), "target": pa.array(target[at])})
-
-    counted = rows.select("text", "trusted").mapInArrow(count, "bucket int, raw long, target long")
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+    rows, ids = documents(docs), target_ids(labels)
+    some, ids = only(rows, ids), ids.hint("merge")
+    # not semi-joins, which the optimiser moves before the filter
+    raw, target = counted(rows), counted(some.join(ids, "doc_id"))
     if not target.sum():
         return None
     ratio = np.log((target + 0.5) / (target.sum() + 0.5 * BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * BUCKETS))
@@ -139,9 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
     def make():
         return lambda texts: {"score": pa.array([score(t, ratio) for t in texts], pa.float64())}
 
-    own = map_texts(rows.filter("trusted"), make, "score double")
-    at = own.agg(F.percentile_approx("score", QUANTILE, 100_000).alias("at")).first()["at"]
-    return ratio, float(at) - MARGIN
+    own = materialise(map_texts(some, make, "score double").join(ids, "doc_id").select("score"))
+    return ratio, quantile(own, QUANTILE) - MARGIN
 
 
 def score(text: str, ratio: np.ndarray) -> float:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,29 @@ def test_quality_odd_rows(docs, rows, empty, spark):
     assert kept.schema == docs.schema and kept.count() == sum(not r["base_failed"] for r in out.values())
 
 
+def test_every_trusted_row_counts(spark):
+    """Counts and threshold are those of all trusted rows, however many; others' texts count for the corpus alone."""
+    n = 20_300
+    docs = spark.range(2 * n).selectExpr("id as doc_id", "concat(sha2(cast(id as string), 256), if(id % 7 = 0, 'zz!', '')) as text")
+    labels = spark.range(n).selectExpr("2 * id as doc_id", "1 as quality").unionAll(spark.createDataFrame([(1, 0), (3, None), (None, 1)], "doc_id long, quality int"))
+    ratio, threshold = quality.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    raw, target = (np.bincount(np.concatenate([quality.ngrams(t) for i, t in texts.items() if i % step == 0]), minlength=quality.BUCKETS) for step in (1, 2))
+    want = np.log((target + 0.5) / (target.sum() + 0.5 * quality.BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * quality.BUCKETS))
+    assert np.allclose(ratio, want, rtol=0, atol=1e-12)
+    own = sorted(quality.score(t, ratio) for i, t in texts.items() if i % 2 == 0)
+    assert threshold == own[int(np.ceil(quality.QUANTILE * n)) - 1] - quality.MARGIN
+
+
+def test_quantiles_are_exact(spark):
+    g = np.random.default_rng(5)
+    for values in (g.normal(size=300_000), g.integers(0, 40, 30_000) / 8, np.ones(5), np.array([3.0, -1.0])):
+        rows = spark.createDataFrame(pd.DataFrame({"score": values})).repartition(5).persist()
+        for share in (0.001, 0.0305, 0.5, 1.0):
+            assert quality.quantile(rows, share) == np.sort(values)[int(np.ceil(share * len(values))) - 1]
+    assert quality.quantile(rows.limit(0), 0.001) is None
+
+
 # toxicity
 
 
