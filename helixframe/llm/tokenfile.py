@@ -26,16 +26,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, shared_dir, slices
+from .common import documents, materialise, shared_dir
 from .tokens import encoder
 
 MAGIC = b"HXTOK2\0\0"
 BLOCK_IDS = 1 << 17
+PART = 1 << 22
 
 
 #: Bytes of each of the four integers that a control byte stands for.
@@ -97,6 +99,18 @@ def read_blocks(path: str):
             yield names, np.arange(n) < none, lengths, decode(control, f.read(size), ids)
 
 
+def parts(batches):
+    """The batches in parts of about ``PART`` bytes of text (a longer text is one part), which are encoded at once; unused Arrow memory goes back at the end."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = np.cumsum(pc.binary_length(b.column(1)).to_numpy(), dtype=np.int64) // PART
+        at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(at, at[1:]):
+            yield b.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
+
+
 def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
     """``doc_id, n_tokens, ids``: ids of each text and the end id, as little-endian integers of two bytes where the vocabulary fits, else four.
 
@@ -109,13 +123,14 @@ def tokenise(docs: DataFrame, path: str, end: int) -> DataFrame:
         width = int(enc.kind[-1])
         tail = np.array([end], enc.kind).tobytes()
         total = np.zeros(1 << 16, np.int64)
-        for b in slices(batches):
-            ids = [enc.one(t) + tail for t in b.column(1).to_pylist()]
-            counts = np.bincount(np.frombuffer(b"".join(ids), enc.kind), minlength=len(total))
+        for b in parts(batches):
+            ids = enc.packed(b.column(1), tail)
+            where = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)
+            counts = np.bincount(np.frombuffer(ids.buffers()[2], enc.kind, int(where[-1]) // width), minlength=len(total))
             counts[: len(total)] += total
             total = counts
-            n = pa.array([len(x) // width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+            n = pa.array(np.diff(where) // width, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, ids, pa.nulls(len(ids), pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -210,3 +211,53 @@ def test_repeated_rows_are_packed_repeatedly(spark):
     out = packing.pack(df, WORD).select(F.sum("length").alias("n")).first()["n"]
     plain = library(WORD)
     assert out == 2 * (len(plain("same text")) + 1) + len(plain("none")) + 1
+
+
+@pytest.mark.parametrize("step", [1, 7, 400])
+def test_texts_encoded_at_once_equal_the_library(step):
+    """Cut over the bytes of many texts: white space at their ends, marks and blanks in a row, letters and signs of two bytes, strange characters, none at all."""
+    enc, plain, g = tokens.Encoder(BYTE, True), library(BYTE), random.Random(6)
+    alphabet = " \t\n\r  ab'1é!sS.rvelltmd''×÷ß·°ªº²ɎĀİ\x00\x1f\xa0«´<|endoftext|>Σσς中ﬁµ"
+    texts = ["".join(g.choice(alphabet[: g.randrange(6, len(alphabet))]) for _ in range(g.randrange(16))) for _ in range(8000 if step > 1 else 2000)]
+    texts += ["", "", "'s", "'", "x'l", "'re've", "a\n", "\n a", "  ", "a's'd 'll", "word " * 300, "中" * 300]
+    for lo in range(0, len(texts), step):
+        own = texts[lo : lo + step]
+        got = enc.packed(pa.array(["before 's ", *own, " after"]).slice(1, len(own)), b"\7\0").to_pylist()
+        assert [np.frombuffer(x, enc.kind).tolist() for x in got] == [[*plain(t), 7] for t in own]
+    assert enc.packed(pa.array([], pa.string()), b"\7\0").to_pylist() == []
+    assert enc.packed(pa.array(["", ""]), b"\7\0").to_pylist() == [b"\7\0"] * 2
+
+
+def test_every_letter_is_cut_as_in_the_library():
+    """Each code point up to U+0300 beside a letter, a number, a blank, a mark and its like, in one array."""
+    enc, plain = tokens.Encoder(BYTE, True), library(BYTE)
+    texts = [f"a{c}b 1{c}2 {c}  {c}{c}! {c}'s{c}" for c in map(chr, range(0x300))]
+    got = [np.frombuffer(x, enc.kind).tolist() for x in enc.packed(pa.array(texts)).to_pylist()]
+    assert got == [plain(t) for t in texts]
+
+
+def test_token_files_look_up_each_different_piece_once_a_part():
+    """Not each piece of each text: 30,000 pieces of a few words are no more look-ups than there are words."""
+    looked = []
+
+    class Counted(tokens.Recent):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    enc = tokens.Encoder(BYTE, True)
+    texts = [" ".join(f"word{'abcdefghij'[(i + k) % 10]}" for k in range(30)) for i in range(1000)]
+    want = [enc.one(t) for t in texts]
+    enc.known = Counted(tokens.CACHE, enc._merged)
+    assert enc.packed(pa.array(texts)).to_pylist() == want
+    assert len(looked) == len(set(looked)) <= 20
+
+
+def test_parts_hold_all_rows():
+    g = random.Random(7)
+    rows = [(i, "x" * g.choice((0, 5, 1 << 20, 3 << 20))) for i in range(40)] + [(40, "x" * (9 << 20)), (41, "")]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    out = list(tokenfile.parts(iter([batch, batch.slice(0, 0), batch.slice(30)])))
+    assert [i for b in out for i in b.column(0).to_pylist()] == [*range(42), *range(30, 42)]
+    assert max(b.num_rows for b in out) > 1
+    assert all(sum(map(len, b.column(1).to_pylist()[1:])) <= tokenfile.PART for b in out)
